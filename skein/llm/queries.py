@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, quality, sharding, simhash, token_file
+from skein.llm import bpe, quality, sharding, simhash, token_file, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def op8_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assigned(_table(spark, sf_dir, "documents"), 40)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.written_and_read(_table(spark, sf_dir, "pages"))
+
+
 def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.written_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
