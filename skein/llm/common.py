@@ -6,7 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -44,6 +44,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept_rows(docs: DataFrame, keep: Callable[[list], list[bool]], name: str = "text") -> DataFrame:
+    """The rows of docs for which keep says so, given their texts in batches; all columns as they are, without a shuffle."""
+    at = docs.columns.index(name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, f"c{at}"):
+                yield part.filter(pa.array(keep(part.column(at).to_pylist()), pa.bool_()))
+
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names may clash
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _written:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import column, slices
+from skein.llm.common import column, kept_rows, slices
 
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
@@ -246,18 +246,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     return fit([(r.doc_id, r.y, bytes(r.cols), bytes(r.shares)) for r in rows.collect()])
 
 
+def _verdicts(model: Model | None, threshold: float, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Base counts, base_failed, kept and the probability of quality."""
+    counts = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
+    p = model.probability(texts) if model else np.ones(len(texts))
+    failed = (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > REPEAT_PERCENT * counts[:, 0])
+    return counts, failed, ~failed & (p >= threshold), p
+
+
 def _judge(model: Model | None, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                texts = part.column("text").to_pylist()
-                counts = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
-                p = model.probability(texts) if model else np.ones(len(texts))
-                failed = (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > REPEAT_PERCENT * counts[:, 0])
-                out = {n: part.column(n) for n in part.schema.names if n != "text"}
+                counts, failed, keep, p = _verdicts(model, threshold, part.column("text").to_pylist())
+                out = {"doc_id": part.column("doc_id")}
                 out |= {n: pa.array(counts[:, i]) for i, n in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))}
-                out |= {"base_failed": pa.array(failed), "quality": pa.array(p), "kept": pa.array(~failed & (p >= threshold))}
-                yield pa.RecordBatch.from_pydict(out)
+                yield pa.RecordBatch.from_pydict(out | {"base_failed": pa.array(failed), "quality": pa.array(p), "kept": pa.array(keep)})
 
     return run
 
@@ -277,22 +281,5 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sam
 
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs that judged() keeps, with their columns as they are; scored where they are read, without a shuffle."""
-    names = docs.columns
-    places = [f"c{i}" for i in range(len(names))]
-    at = next(i for i, n in enumerate(names) if n == "text")
     model = train(docs, labels, sample)
-    judge = _judge(model, threshold)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, f"c{at}"):
-                text = pa.RecordBatch.from_arrays([part.column(at)], names=["text"])
-                for verdict in judge(iter([text])):
-                    yield part.slice(0, verdict.num_rows).filter(verdict.column("kept")) if verdict.num_rows == part.num_rows else _fail()
-
-    rows = docs.toDF(*places)
-    return rows.mapInArrow(run, rows.schema).toDF(*names)
-
-
-def _fail():
-    raise AssertionError("a batch was divided again")
+    return kept_rows(docs, lambda texts: _verdicts(model, threshold, texts)[2].tolist())
