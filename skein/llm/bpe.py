@@ -10,7 +10,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,9 @@ from pyspark.sql import DataFrame
 from skein.llm.common import column, slices
 
 #: Encoded pieces that a Python worker remembers, twice over.
-REMEMBERED = 350_000
+REMEMBERED = 400_000
 _SPACES = " \n"
+_MARKS = ".,!#%$&*"
 
 
 def byte_characters() -> list[str]:
@@ -92,7 +95,7 @@ class Pieces:
     pattern divides a text into pre-tokens; encode gives the ids of each of a list of pre-tokens. No match of the pattern holds a
     character that is not white space followed by one that is. So a text may be cut before a space or line end that follows
     such a character, and what lies between two cuts always has the same ids. Texts with white space next to such a cut, or with
-    the cutting mark itself, are divided by the pattern as a whole.
+    the cutting mark itself, are divided by the pattern as a whole. A space and letters are one pre-token.
     """
 
     def __init__(self, pattern: str, encode: Callable[[list[str]], list[list[int]]]):
@@ -102,56 +105,67 @@ class Pieces:
         self.tokens: dict[str, bytes] = {}
         self.old_tokens: dict[str, bytes] = {}
 
-    def _learn_tokens(self, tokens: set[str]) -> None:
+    def _learn(self, missing: list[str], known: dict, old: dict) -> None:
+        """Puts the ids of pre-tokens that known does not have there."""
         new = []
-        for t in tokens:
-            if (found := self.old_tokens.get(t)) is None:
+        for t in missing:
+            if (found := old.get(t)) is None:
                 new.append(t)
             else:
-                self.tokens[t] = found
+                known[t] = found
         for t, ids in zip(new, self.encode(new) if new else []):
-            self.tokens[t] = struct.pack(f"<{len(ids)}I", *ids)
+            known[t] = array("I", ids).tobytes()
 
-    def whole(self, text: str) -> bytes:
-        found = self.find(text)
-        if missing := set(found).difference(self.tokens):
-            self._learn_tokens(missing)
-        out = b"".join(map(self.tokens.__getitem__, found))
+    def _forget(self) -> None:
         if len(self.tokens) > REMEMBERED:
             self.old_tokens, self.tokens = self.tokens, {}
-        return out
+        if len(self.parts) > REMEMBERED:
+            self.old_parts, self.parts = self.parts, {}
 
-    def _learn_parts(self, parts: set[str]) -> None:
-        new = []
-        for p in parts:
-            if (found := self.old_parts.get(p)) is not None:
-                self.parts[p] = found
+    def whole(self, text: str) -> bytes:
+        found = self.find(text)
+        self._learn(list(set(found).difference(self.tokens)), self.tokens, self.old_tokens)
+        return b"".join(map(self.tokens.__getitem__, found))
+
+    def _learn_parts(self, missing: set[str]) -> None:
+        """Divides new parts into pre-tokens. Those of a space and letters are parts as well and only kept as such."""
+        parts, old = self.parts, self.old_parts
+        words, pairs, rest = set(), [], []
+        for p in missing:
+            if (found := old.get(p)) is not None:
+                parts[p] = found
+            elif p[:1] == " " and p[1:].isalpha():
+                words.add(p)
+            elif p[:1] == " " and p[-1] in _MARKS and p[1:-1].isalpha():
+                pairs.append(p)
             else:
-                new.append(p)
-        found = [self.find(p) for p in new]
-        if missing := {t for f in found for t in f}.difference(self.tokens):
-            self._learn_tokens(missing)
-        for p, f in zip(new, found):
+                rest.append(p)
+        words.update(w for p in pairs if (w := p[:-1]) not in parts)
+        self._learn(list(words), parts, old)
+        found = [self.find(p) for p in rest]
+        tokens = {t for f in found for t in f}.union(_MARKS).difference(self.tokens)
+        self._learn(list(tokens), self.tokens, self.old_tokens)
+        token = self.tokens.__getitem__
+        for p in pairs:
+            parts[p] = parts[p[:-1]] + token(p[-1])
+        for p, f in zip(rest, found):
             body = p[1:] if p[:1] in _SPACES and p else p
             fits = not p or (body and not _blank(body[0]) and not _blank(body[-1]))
-            self.parts[p] = b"".join(map(self.tokens.__getitem__, f)) if fits else None
-        if len(self.tokens) > REMEMBERED:
-            self.old_tokens, self.tokens = self.tokens, {}
-
-    def ids(self, text: str) -> bytes:
-        if "\0" in text:
-            return self.whole(text)
-        parts = text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
-        try:
+            parts[p] = b"".join(map(token, f)) if fits else None
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        cut = [[] if "\0" in t else t.replace("\n", "\0\n").replace(" ", "\0 ").split("\0") for t in texts]
+        if missing := set().union(*cut).difference(self.parts):
+            self._learn_parts(missing)
+        part, out = self.parts.__getitem__, []
+        for text, parts in zip(texts, cut):
             try:
-                return b"".join(map(self.parts.__getitem__, parts))
-            except KeyError:
-                if len(self.parts) > REMEMBERED:
-                    self.old_parts, self.parts = self.parts, {}
-                self._learn_parts(set(parts).difference(self.parts))
-                return b"".join(map(self.parts.__getitem__, parts))
-        except TypeError:  # a part that must not stand alone
-            return self.whole(text)
+                out.append(b"".join(map(part, parts)) if parts else self.whole(text))
+            except TypeError:  # a part that must not stand alone
+                out.append(self.whole(text))
+        self._forget()
+        return out
 
 
 def _blank(c: str) -> bool:
@@ -159,6 +173,7 @@ def _blank(c: str) -> bool:
     return c.isspace() or c in "\x1c\x1d\x1e\x1f\x85᠎​﻿"
 
 
+@lru_cache(1)  # a worker keeps it from task to task
 def encoder(proto: bytes, pattern: str) -> Pieces:
     import sentencepiece
 
@@ -185,7 +200,7 @@ def _work(proto: bytes, pattern: str, with_ids: bool):
         encode, decode = encoder(proto.value, pattern).ids, Decoder(proto.value)
         for batch in batches:
             for part in slices(batch):
-                ids = [encode(t.as_py() or "") for t in part.column("text")]
+                ids = encode([t or "" for t in part.column("text").to_pylist()])
                 cols = {
                     "doc_id": part.column("doc_id"),
                     "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),

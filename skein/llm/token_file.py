@@ -25,6 +25,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -164,22 +165,29 @@ class Tokens:
         cut = self.tokenizer.model.tokenize
         self.pieces = Pieces(pattern, lambda tokens: [[x.id for x in cut(mapped(t.encode("utf-8")))] for t in tokens])
 
-    def ids(self, text: str) -> bytes:
-        if any(a in text for a in self.added):  # which the library takes out of the text first
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.pieces.ids(text)
+    def ids(self, texts: list[str]) -> list[bytes]:
+        out = self.pieces.ids(texts)
+        for i, text in enumerate(texts):
+            if any(a in text for a in self.added):  # which the library takes out of a text first
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+
+@lru_cache(1)  # a worker keeps it from task to task
+def tokens(path: str, pattern: str) -> Tokens:
+    return Tokens(path, pattern)
 
 
 def _frames(path: str, pattern: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Tokens(path, pattern).ids, struct.pack("<I", end_id)
+        encode, end = tokens(path, pattern).ids, struct.pack("<I", end_id)
         held, n, at, frames, docs, sizes = [], 0, 0, [], [], []
         row = lambda data: pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["frame"])
         for batch in batches:
             for part in slices(batch):
                 docs += part.column("doc_id").to_pylist()
-                for text in part.column("text"):
-                    ids = encode(text.as_py() or "") + end
+                for ids in encode([t or "" for t in part.column("text").to_pylist()]):
+                    ids += end
                     held.append(ids)
                     sizes.append(len(ids) // 4)
                     n += len(ids) // 4
