@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, decontamination, html_text, quality, sharding, simhash, token_file, warc
+from skein.llm import bpe, decontamination, html_text, licenses, quality, sharding, simhash, token_file, url_filters, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(_table(spark, sf_dir, "documents"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(_table(spark, sf_dir, "pages"))
 
@@ -36,6 +40,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(_table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.evaluated(url_filters.pages_as_captures(_table(spark, sf_dir, "pages")), url_filters.values(spark))
+
+
 def op8_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assigned(_table(spark, sf_dir, "documents"), 40)
 
@@ -53,4 +61,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scan": licenses.sql(), "op7_url_filter": url_filters.sql()}
