@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 from skein.functions.text import embed_text
 
@@ -43,18 +44,18 @@ def mean_pool(states: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return states[kept].mean(axis=0) if kept.any() else np.zeros(states.shape[1], states.dtype)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def to_bytes(v: pd.Series) -> pd.Series:
     """Vectors as little-endian 32-bit floats."""
     return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def from_bytes(v: pd.Series) -> pd.Series:
     return v.map(lambda x: None if x is None else np.frombuffer(x[: len(x) // 4 * 4], "<f4"))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def hashed_embedding(texts: pd.Series) -> pd.Series:
     """A stand-in for a model where none is installed: hashed character trigrams, 256 dimensions, length one."""
     import zlib
