@@ -7,7 +7,7 @@ import time
 from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +16,8 @@ from skein.operators.outline import code_spans, headings
 from skein.sources.parsers import parse
 
 _ROW = "path string, what string, id string, kind string, name string, qualified_name string, language string, start_line long, end_line long, start_column long, end_column long, signature string, is_exported boolean, source string, target string, line long, col long, candidates array<string>"
-_COLUMNS = [c.split()[0] for c in _ROW.split(", ")]
+_TYPES = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+_ARROW = pa.schema([(n, _TYPES[t]) for n, t in (c.split() for c in _ROW.split(", "))])
 
 
 def node_id(path: str, kind: str, qualified: str, line: int, column: int) -> str:
@@ -55,18 +56,15 @@ def file_rows(path: str, language: str, text: str) -> list[dict]:
     return out
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path, language, text in zip(batch["path"], batch["language"], batch["content"]):
-            rows = pd.DataFrame(file_rows(path, language, text), columns=_COLUMNS)
-            for c in ("start_line", "end_line", "start_column", "end_column", "line", "col"):
-                rows[c] = rows[c].astype("Int64")
-            yield rows.astype({"is_exported": "boolean"})
+        for path, language, text in zip(*(batch.column(c).to_pylist() for c in ("path", "language", "content"))):
+            yield pa.RecordBatch.from_pylist(file_rows(path, language, text), _ARROW)
 
 
 def ingest(files: DataFrame) -> dict[str, DataFrame]:
     """The rows that files (as tree.read gives them) add to the graph tables; each file is parsed by itself, in parallel."""
-    rows = files.select("path", "language", "content").mapInPandas(_parse, _ROW)
+    rows = files.select("path", "language", "content").mapInArrow(_parse, _ROW)
     now = int(time.time() * 1000)
     empty = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in ("docstring string", "visibility string", "decorators array<string>", "type_parameters array<string>")}
     flags = {c: F.lit(False) for c in ("is_async", "is_static", "is_abstract")}
