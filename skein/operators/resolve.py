@@ -18,53 +18,61 @@ def hint_matches(path: Column, hint: Column) -> Column:
     return F.endswith(F.regexp_replace(path, _EXTENSIONS, ""), clean) | (stem(path) == clean) | (F.endswith(path, F.lit("/mod.rs")) & (base_name(parent(path)) == clean))
 
 
-def hints(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """ref, module, export: the first import of the reference's name in the referring file; the module is its signature's or its name."""
+_KEY = ["reference_kind", "reference_name", "from_path", "own"]
+
+
+def hints(keys: DataFrame, nodes: DataFrame) -> DataFrame:
+    """keys with module and export: the first import of the reference's name in the referring file; the module is its signature's or its name."""
     imports = nodes.filter("kind = 'import'").withColumn("nth", F.row_number().over(Window.partitionBy("file_path", "name").orderBy("start_line", "id"))).filter("nth = 1")
     signature = F.split("signature", r"\|export=")
     found = imports.select(
-        F.col("file_path").alias("from_path"), F.col("name").alias("reference_name"), F.coalesce(signature[0], F.col("name")).alias("module"), F.try_element_at(signature, F.lit(2)).alias("export")
+        F.col("file_path").alias("from_path"), F.col("name").alias("reference_name"), F.coalesce(signature[0], F.col("name")).alias("module"), F.coalesce(F.try_element_at(signature, F.lit(2)), F.col("name")).alias("export")
     )
-    return refs.join(found, ["from_path", "reference_name"]).select(F.col("id").alias("ref"), "module", F.coalesce("export", "reference_name").alias("export"))
+    return keys.join(found, ["from_path", "reference_name"], "left")
 
 
-def candidates(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """ref, node and what ranking needs. Calls take their own candidate ids if any of these is a callable, else callables by name;
-    other kinds take any node by name. A hot name is a hot key of an equi-join, which Spark splits."""
-    ends = nodes.select(F.col("id").alias("node"), F.col("name").alias("reference_name"), F.col("kind").alias("node_kind"), F.col("file_path").alias("to_path"))
-    own = refs.filter("reference_kind = 'calls' and size(candidates) > 0").select(F.col("id").alias("ref"), "reference_kind", "from_path", F.explode("candidates").alias("node"))
-    by_id = own.join(ends, "node").filter(F.col("node_kind").isin(*CALLABLE)).dropDuplicates(["ref", "node"])
-    given = by_id.select("ref").distinct()
-    rest = refs.withColumnRenamed("id", "ref").join(given, "ref", "left_anti")
-    by_name = rest.join(ends, "reference_name").filter((F.col("reference_kind") != "calls") | F.col("node_kind").isin(*CALLABLE))
-    columns = ["ref", "reference_kind", "from_path", "node", "to_path"]
-    return by_id.select(columns).unionByName(by_name.select(columns))
+def own_candidates(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """own (the reference), node, to_path: the callables among the candidate ids that calls bring with them."""
+    spread = refs.filter("reference_kind = 'calls' and size(candidates) > 0").select(F.col("id").alias("own"), F.explode("candidates").alias("node"))
+    return spread.join(nodes.filter(F.col("kind").isin(*CALLABLE)).select(F.col("id").alias("node"), F.col("file_path").alias("to_path")), "node").distinct()
 
 
 def resolve(refs: DataFrame, nodes: DataFrame, limit: int | None = None) -> DataFrame:
-    """ref, source, target, kind, line, col of the references that have exactly one best candidate.
+    """ref, source, target, kind, line, col, tier of the references that have exactly one best candidate.
 
+    Calls take their own candidate ids if any of these is a callable, else callables by name; other kinds take any node by name.
     Tiers: exports of the hinted module (which replace all else), files that match the import hint, same file, same folder, and
     for other kinds than calls any. Only the best tier that has candidates counts; one candidate there links, more do not. limit
     takes the references with the smallest ids.
+
+    References of one kind, name and file have the same outcome, and so are ranked once; nodes of one name and file are counted
+    before they are joined. A name that a third of all references or nodes have thus meets as files, not as rows.
     """
     if limit is not None:
         refs = refs.orderBy("id").limit(limit)
     paths = nodes.select(F.col("id").alias("from_node_id"), F.col("file_path").alias("from_path"))
-    own = refs.join(paths, "from_node_id")
-    hint = hints(own, nodes)
-    exports = nodes.filter("kind = 'export'").select(F.col("id").alias("node"), F.col("name").alias("export"), F.col("signature").alias("module"))
-    over = hint.join(exports, ["module", "export"]).select("ref", "node", F.lit(0).alias("tier"))
-    ranked = candidates(own, nodes).join(hint, "ref", "left")
+    given = own_candidates(refs, nodes)
+    marked = refs.join(given.select(F.col("own").alias("id"), F.lit(True).alias("given")).distinct(), "id", "left")
+    placed = marked.join(paths, "from_node_id").withColumn("own", F.when(F.col("given"), F.col("id")).otherwise(F.lit(-1)))
+    keys = hints(placed.select(_KEY).distinct(), nodes)
+    exports = nodes.filter("kind = 'export'").groupBy(F.col("signature").alias("module"), F.col("name").alias("export")).agg(F.count("*").alias("n"), F.min("id").alias("node"))
+    over = keys.join(exports, ["module", "export"]).select(*_KEY, F.lit(0).alias("tier"), "n", "node")
+    callable = F.col("kind").isin(*CALLABLE)
+    counted = nodes.groupBy(F.col("name").alias("reference_name"), F.col("file_path").alias("to_path")).agg(
+        F.count("*").alias("n_any"), F.min("id").alias("any"), F.sum(callable.cast("long")).alias("n_callable"), F.min(F.when(callable, F.col("id"))).alias("callable")
+    )
+    calls = F.col("reference_kind") == "calls"
+    columns = [*_KEY, "module", "to_path", "n", "node"]
+    by_name = keys.filter("own = -1").join(counted, "reference_name").withColumns({"n": F.when(calls, F.col("n_callable")).otherwise(F.col("n_any")), "node": F.when(calls, F.col("callable")).otherwise(F.col("any"))}).filter("n > 0")
+    by_id = keys.filter("own <> -1").join(given, "own").withColumn("n", F.lit(1).cast("long"))
+    every = by_name.select(columns).unionByName(by_id.select(columns))
     tier = (
         F.when(hint_matches(F.col("to_path"), F.col("module")), 1).when(F.col("to_path") == F.col("from_path"), 2)
-        .when(parent(F.col("to_path")) == parent(F.col("from_path")), 3).when(F.col("reference_kind") != "calls", 4)
+        .when(parent(F.col("to_path")) == parent(F.col("from_path")), 3).when(~calls, 4)
     )
-    every = over.unionByName(ranked.select("ref", "node", tier.alias("tier")).filter("tier is not null"))
-    # counts by tier, then the best tier of each reference: partial sums, no reference's candidates gathered
-    tiers = every.groupBy("ref", "tier").agg(F.count("*").alias("n"), F.min("node").alias("node"))
-    best = tiers.groupBy("ref").agg(F.min(F.struct("tier", "n", "node")).alias("b")).filter("b.n = 1")
-    return best.join(own.withColumnRenamed("id", "ref"), "ref").select("ref", F.col("from_node_id").alias("source"), F.col("b.node").alias("target"), F.col("reference_kind").alias("kind"), "line", "col", F.col("b.tier").alias("tier"))
+    tiers = every.select(*_KEY, tier.alias("tier"), "n", "node").filter("tier is not null").groupBy(*_KEY, "tier").agg(F.sum("n").alias("n"), F.min("node").alias("node")).unionByName(over)
+    best = tiers.groupBy(*_KEY).agg(F.min(F.struct("tier", "n", "node")).alias("b")).filter("b.n = 1").select(*_KEY, F.col("b.node").alias("target"), F.col("b.tier").alias("tier"))
+    return placed.join(best, _KEY).select(F.col("id").alias("ref"), F.col("from_node_id").alias("source"), "target", F.col("reference_kind").alias("kind"), "line", "col", "tier")
 
 
 # Hints of frameworks: possible files of a name, of which those that exist count.
