@@ -12,17 +12,16 @@ import hashlib
 import struct
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from skein.llm.common import column, slices
+from skein.llm.common import column, remembered, slices
 
 #: Encoded pieces that a Python worker remembers, twice over.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 _SPACES = " \n"
 _MARKS = ".,!#%$&*"
 
@@ -173,7 +172,6 @@ def _blank(c: str) -> bool:
     return c.isspace() or c in "\x1c\x1d\x1e\x1f\x85᠎​﻿"
 
 
-@lru_cache(1)  # a worker keeps it from task to task
 def encoder(proto: bytes, pattern: str) -> Pieces:
     import sentencepiece
 
@@ -197,7 +195,7 @@ class Decoder:
 
 def _work(proto: bytes, pattern: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, decode = encoder(proto.value, pattern).ids, Decoder(proto.value)
+        encode, decode = remembered(("bpe", hash(proto.value), pattern), lambda: (encoder(proto.value, pattern).ids, Decoder(proto.value)))
         for batch in batches:
             for part in slices(batch):
                 ids = encode([t or "" for t in part.column("text").to_pylist()])

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: A join side is broadcast up to so many rows of a few numbers each; a larger side is shuffled.
 BROADCAST_ROWS = 500_000
 #: Bytes of text that a Python worker holds at once beside the Arrow batch itself.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -44,6 +44,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_made: dict = {}
+
+
+def remembered(key, make: Callable):
+    """What make gives, made once for a key in a Python worker, which goes from task to task. Only the last key's is kept, so that a
+    worker does not carry what other operators needed."""
+    if key not in _made:
+        _made.clear()
+        _made[key] = make()
+    return _made[key]
+
+
 def kept_rows(docs: DataFrame, keep: Callable[[list], list[bool]], name: str = "text") -> DataFrame:
     """The rows of docs for which keep says so, given their texts in batches; all columns as they are, without a shuffle."""
     at = docs.columns.index(name)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import column, kept_rows, saved, slices
+from skein.llm.common import column, kept_rows, remembered, saved, slices
 
 PERCENT = 8
 #: Items of fewer characters than this, which any text may hold by chance, are not searched.
@@ -134,14 +134,9 @@ def _collected(items: DataFrame) -> list[tuple[int, str]]:
     return sorted((r.item_id, r.text) for r in items.collect())
 
 
-_made: dict = {}
-
-
 def _matcher(items) -> Matcher:
-    """A worker keeps the matcher of a broadcast from task to task."""
-    if items.value is not _made.get("items"):
-        _made.update(items=items.value, matcher=Matcher(items.value))
-    return _made["matcher"]
+    """The matcher of a broadcast of items."""
+    return remembered(("items", tuple(items.value)), lambda: Matcher(items.value))
 
 
 def _pairs(items):
@@ -184,4 +179,8 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _clean(items):
-    return lambda texts: [not _matcher(items).any(t) for t in texts]
+    def keep(texts: list) -> list[bool]:
+        matcher = _matcher(items)
+        return [not matcher.any(t) for t in texts]
+
+    return keep

@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import column, kept_rows, slices
+from skein.llm.common import column, kept_rows, remembered, slices
 
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
 WINDOW = 5
 #: Labelled rows that a model is trained on, those of the smallest hashes of doc_id; the documented bound of the sample.
-SAMPLE = 3000
+SAMPLE = 2000
 #: A text is kept if its calibrated probability of quality is at least this.
 THRESHOLD = 0.3
 BINS = 1 << 12
@@ -197,23 +197,22 @@ def fit(rows: list[tuple[int, int, bytes, bytes]], rounds: int = 200, decay: flo
     y = np.array([r[1] for r in rows], float)
     if not len(rows) or min(y.sum(), (1 - y).sum()) < 5:
         return None
-    cols = [np.frombuffer(r[2], np.uint16).astype(np.int64) for r in rows]
-    vals = [np.frombuffer(r[3], np.float32).astype(float) for r in rows]
     held = np.zeros(len(rows), bool)
     for kind in (0, 1):
         held[np.flatnonzero(y == kind)[::5]] = True
     n_cols = FAMILIES * BINS
 
     def matrix(which: np.ndarray):
+        """Column, share and row of each entry, and the rows' labels."""
         at = np.flatnonzero(which)
-        return np.concatenate([cols[i] for i in at]), np.concatenate([vals[i] for i in at]), np.repeat(np.arange(len(at)), [len(cols[i]) for i in at]), y[at]
+        cols = np.frombuffer(b"".join(rows[i][2] for i in at), np.uint16)
+        return cols, np.frombuffer(b"".join(rows[i][3] for i in at), np.float32), np.repeat(np.arange(len(at), dtype=np.int32), [len(rows[i][2]) // 2 for i in at]), y[at]
 
     c, v, r, t = matrix(~held)
-    rms = np.sqrt(np.bincount(c, v * v, n_cols) / len(t))
-    scale = 1 / (rms + 1e-3)
-    v = v * scale[c]
-    v /= np.sqrt(np.bincount(r, v * v, len(t)))[r].mean()
-    factor = v / np.maximum(1e-30, np.concatenate([vals[i] for i in np.flatnonzero(~held)]))
+    scale = 1 / (np.sqrt(np.bincount(c, v * v, n_cols) / len(t)) + 1e-3)
+    v = v * scale[c].astype(np.float32)
+    even = float(np.sqrt(np.bincount(r, v * v, len(t))).mean())  # rows of about length one
+    scale, v = scale / even, v / np.float32(even)
     w, bias = np.zeros(n_cols), float(np.log(t.mean() / (1 - t.mean())))
     weight = np.where(t > 0, 0.5 / t.mean(), 0.5 / (1 - t.mean()))
     seen, old_w, old_b, rate = 1.0, w, bias, 2.0
@@ -221,13 +220,12 @@ def fit(rows: list[tuple[int, int, bytes, bytes]], rounds: int = 200, decay: flo
         new = (1 + np.sqrt(1 + 4 * seen * seen)) / 2
         step = (seen - 1) / new
         aw, ab = w + step * (w - old_w), bias + step * (bias - old_b)
-        err = weight * (_sigmoid(np.bincount(r, v * aw[c], len(t)) + ab) - t) / len(t)
+        err = weight * (_sigmoid(np.bincount(r, v * aw.astype(np.float32)[c], len(t)) + ab) - t) / len(t)
         old_w, old_b, seen = w, bias, new
-        w = aw - rate * (np.bincount(c, v * err[r], n_cols) + decay * aw / len(t))
+        w = aw - rate * (np.bincount(c, v * err.astype(np.float32)[r], n_cols) + decay * aw / len(t))
         bias = ab - rate * err.sum()
-    ratio = np.zeros(n_cols)
-    ratio[c] = factor
-    w = w * ratio
+    w = w * scale
+    del c, v, r
     hc, hv, hr, ht = matrix(held)
     slope, shift = _newton_sigmoid(np.bincount(hr, hv * w[hc], len(ht)) + bias, ht)
     return Model(w.reshape(FAMILIES, BINS), bias, slope, shift)
@@ -248,6 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
 
 def _verdicts(model: Model | None, threshold: float, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Base counts, base_failed, kept and the probability of quality."""
+    remembered("quality", dict)
     counts = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
     p = model.probability(texts) if model else np.ones(len(texts))
     failed = (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > REPEAT_PERCENT * counts[:, 0])

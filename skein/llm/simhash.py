@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import column, join_small, saved, slices
+from skein.llm.common import column, join_small, remembered, saved, slices
 from skein.llm.components import components
 
 WORDS = 4
@@ -59,6 +59,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    remembered("simhash", dict)
     for batch in batches:
         for part in slices(batch):
             out = np.fromiter((fingerprint(shingle_hashes(t.as_py())) for t in part.column("text")), np.uint64, part.num_rows)

@@ -25,7 +25,6 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.llm.bpe import Pieces, mapped
-from skein.llm.common import column, new_path, saved, slices
+from skein.llm.common import column, new_path, remembered, saved, slices
 
 BLOCK = 1024
 PERCENTILE = 95
@@ -173,14 +172,9 @@ class Tokens:
         return out
 
 
-@lru_cache(1)  # a worker keeps it from task to task
-def tokens(path: str, pattern: str) -> Tokens:
-    return Tokens(path, pattern)
-
-
 def _frames(path: str, pattern: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = tokens(path, pattern).ids, struct.pack("<I", end_id)
+        encode, end = remembered(("tokens", path, pattern), lambda: Tokens(path, pattern)).ids, struct.pack("<I", end_id)
         held, n, at, frames, docs, sizes = [], 0, 0, [], [], []
         row = lambda data: pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["frame"])
         for batch in batches:
