@@ -128,18 +128,21 @@ def _frame(rows: list[dict], schema: str) -> pa.RecordBatch:
 
 
 def _segments(spark: SparkSession, path: str) -> DataFrame:
-    """file, block and data, in order in each partition: what lies between two magics, in the file's part that begins at block."""
+    """file, block and data, in order in each partition: what lies between two magics, in the file's part that begins at block.
+
+    file is the XXH64 of the path: rows stay small where they are joined, and no two of many million files are likely to share one.
+    """
     lines = spark.read.option("lineSep", MAGIC.decode()).text(path)
-    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("data"))
+    return lines.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("data"))
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes]]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
     for batch in batches:
         for file, block, data in zip(batch.column("file"), batch.column("block"), batch.column("data")):
             yield file.as_py(), block.as_py(), data.as_py()
 
 
-_CANDIDATE = f"file string, block long, at long, next long, exit long, whole boolean, {_RECORD}"
+_CANDIDATE = f"file long, block long, at long, next long, exit long, whole boolean, {_RECORD}"
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,12 +230,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     count = -1
     while (now := entries.count()) != count:
         count = now
-        hops = entries.join(jump, ["file", "place"]).select("file", F.col("exit").alias("place"))
-        entries_next = entries.unionByName(hops.join(jump.select("file", "place"), ["file", "place"], "left_semi")).distinct()
-        target = jump.select("file", F.col("place").alias("exit"), F.col("exit").alias("further"))
+        hops = entries.join(jump.hint("merge"), ["file", "place"]).select("file", F.col("exit").alias("place"))
+        entries_next = entries.unionByName(hops.join(jump.select("file", "place").hint("merge"), ["file", "place"], "left_semi")).distinct()
+        target = jump.select("file", F.col("place").alias("exit"), F.col("exit").alias("further")).hint("merge")  # as many rows as jump
         jump = saved(jump.join(target, ["file", "exit"], "left").select("file", "block", "place", F.coalesce("further", "exit").alias("exit")), "chain")
         entries = saved(entries_next, "entries")
-    entry = entries.join(jump.select("file", "block", "place"), ["file", "place"]).join(bases, ["file", "block"]).select("file", "block", (F.col("place") - F.col("base")).alias("entry"))
+    entry = entries.join(jump.select("file", "block", "place").hint("merge"), ["file", "place"]).join(bases, ["file", "block"]).select("file", "block", (F.col("place") - F.col("base")).alias("entry"))
     marked = found.filter("at >= 0").join(entry, ["file", "block"]).groupBy("file", "block").applyInPandas(_mark, _CANDIDATE)
     records = saved(marked, "records")
     whole = records.filter("whole").select(*_FIELDS)
@@ -241,7 +244,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     if spans.isEmpty():
         return whole
     parts = bases.join(spans, "file").filter("start < base + size and stop > base").select("file", "block", "base", "start", "stop")
-    pieces = _segments(spark, path).mapInArrow(_cut, "file string, block long, at long, data binary")
+    pieces = _segments(spark, path).mapInArrow(_cut, "file long, block long, at long, data binary")
     own = join_small(pieces, saved(parts, "parts"), ["file", "block"], "inner").withColumn("place", F.col("base") + F.col("at"))
     own = own.filter("place >= start and place < stop").select("file", "start", "place", "data")
     return whole.unionByName(own.groupBy("file", "start").applyInPandas(_assemble, _RECORD))
