@@ -1,9 +1,10 @@
-"""Licence scans: lines and whole texts compared to licence templates by Dice's coefficient over word bigrams.
+"""Licence scans: lines, runs of lines and whole texts compared to licence templates by Dice's coefficient over word bigrams.
 
 Text is normalised to lower-case ASCII words. A unit of n distinct bigrams reaches a coefficient of t with a template of m only
 if n lies between m t / (2 - t) and m (2 - t) / t, and only if it holds one of the template's m - ceil(m t / (2 - t)) + 1 rarest
-bigrams. Size bounds and these probes leave few candidates, whose bigrams are then counted exactly. All of it is DataFrame
-operations; the templates are constants of this module.
+bigrams. Size bounds and these probes leave few candidates, whose bigrams are then counted exactly. Runs of lines, or of words, are
+built only around a template's probes, where enough of its bigrams are near; repeated bigrams count in a run's length, which is
+at most m (2 - t) / t. All of it is DataFrame operations; the templates are constants of this module.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ TEMPLATES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Unlicense", ("This is free and unencumbered software", "released into the public domain")),
 )
 _COMMON = frozenset("the of to a and or in is this for any it be with by that all on as are".split())
+#: Bigrams of a text that are looked through at once for runs, beside those around them.
+_BLOCK = 512
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -65,16 +68,22 @@ def probes(pairs: list[str], t: Fraction = THRESHOLD) -> list[str]:
     return pairs[: len(pairs) - ceil(len(pairs) * t / (2 - t)) + 1]
 
 
+def _plain(text) -> F.Column:
+    return F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), "[^a-z0-9]+", " "))
+
+
+def _bigrams(words: str) -> F.Column:
+    n = F.size(words) - 1
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
 def _with_bigrams(units: DataFrame) -> DataFrame:
     """Units with pairs, their distinct bigrams, in place of their text; none if it has fewer than two words.
 
     Each step is the row of a one-element array, so that it is computed once, however often later filters name it.
     """
-    plain = F.trim(F.regexp_replace(F.translate("unit", _UPPER, _LOWER), "[^a-z0-9]+", " "))
-    worded = units.select("doc_id", "line", F.explode(F.array(F.split(plain, " "))).alias("words")).filter(F.size("words") > 1)
-    n = F.size("words") - 1
-    pairs = F.array_distinct(F.zip_with(F.slice("words", 1, n), F.slice("words", 2, n), lambda a, b: F.concat(a, F.lit(" "), b)))
-    return worded.select("doc_id", "line", F.explode(F.array(pairs)).alias("pairs"))
+    worded = units.select("doc_id", "line", F.explode(F.array(F.split(_plain("unit"), " "))).alias("words")).filter(F.size("words") > 1)
+    return worded.select("doc_id", "line", F.explode(F.array(F.array_distinct(_bigrams("words")))).alias("pairs"))
 
 
 def _table(spark: SparkSession) -> DataFrame:
@@ -83,8 +92,58 @@ def _table(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(template, license, m, low, high, bigram)")
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, license, dice (6 decimals), line (from 1; 0 for the whole text) of each licence that a line or the whole text reaches.
+def _probed(spark: SparkSession) -> DataFrame:
+    """template, license, m, low, high, pairs, probes, bigram: a row for each probe."""
+    words = lambda x: f"array({', '.join(map(repr, x))})"
+    rows = [f"('{name}', {len(p)}, {bounds(len(p))[0]}, {bounds(len(p))[1]}, {words(p)}, {words(probes(p))})" for _, name, p in template_bigrams()]
+    return spark.sql(f"SELECT *, explode(probes) AS bigram FROM VALUES {', '.join(rows)} AS t(license, m, low, high, pairs, probes)")
+
+
+def _runs(rows: DataFrame, by_word: bool) -> DataFrame:
+    """doc_id, license, line, n, m, c of the runs of lines (by_word: of words) of each text that reach a template.
+
+    A run that reaches it holds one of its probes, and at least low of its bigrams lie within high of that one. Runs are built from
+    the first probe that they hold. A run of words starts and ends with bigrams of the template, as what lies outside only lowers
+    the coefficient.
+    """
+    known = template_bigrams()
+    every = sorted({p for _, _, pairs in known for p in probes(pairs)})
+    reach = max(bounds(len(p))[1] for _, _, p in known) - 1
+    held = F.split(F.lit("|".join(every)), "[|]")
+    words = rows.select("doc_id", "text", F.explode(F.array(F.split(_plain("text"), " "))).alias("words")).filter(F.size("words") > 1)
+    own = words.select("doc_id", "text", F.explode(F.array(_bigrams("words"))).alias("own")).filter(F.arrays_overlap("own", held))
+    # the line of each word; the bigrams with the line of their first word, and whether they begin and end a line
+    counts = F.transform(F.split("text", "\n"), lambda x, i: F.array_repeat(i + 1, F.size(F.filter(F.split(_plain(x), " "), lambda w: w != ""))))
+    lined = own.select("doc_id", "own", F.explode(F.array(F.flatten(counts))).alias("at"))
+    line = lambda i: F.get("at", i)
+    begins, ends = (lambda i: F.coalesce(line(i - 1) != line(i), F.lit(True))), (lambda i: F.coalesce(line(i + 1) != line(i + 2), F.lit(True)))
+    marked = F.transform("own", lambda b, i: F.struct(b.alias("b"), line(i).alias("line"), begins(i).alias("begins"), ends(i).alias("ends")))
+    marked = lined.select("doc_id", F.explode(F.array(marked)).alias("own"))
+    # blocks with what lies around them, then the surroundings of each probe; place counts from 1 in its surroundings
+    start = F.sequence(F.lit(1), F.size("own"), F.lit(_BLOCK))
+    around = lambda of, s, n: F.slice(of, F.greatest(s - reach, F.lit(1)), n + reach + F.least(s - 1, F.lit(reach)))
+    blocks = F.transform(start, lambda s: F.struct(F.least(s, F.lit(reach + 1)).alias("first"), around("own", s, _BLOCK).alias("own")))
+    blocks = marked.select("doc_id", F.explode(blocks).alias("x")).select("doc_id", "x.first", "x.own").filter(F.arrays_overlap(F.transform("own", lambda x: x["b"]), held))
+    places = F.filter(F.transform("own", lambda x, i: F.when(x["b"].isin(every), i + 1)), lambda i: i.between(F.col("first"), F.col("first") + _BLOCK - 1))
+    near = F.transform(places, lambda i: F.struct(F.least(i, F.lit(reach + 1)).alias("place"), around("own", i, 1).alias("own")))
+    near = blocks.select("doc_id", F.explode(near).alias("x")).select("doc_id", "x.place", "x.own")
+    near = near.select("doc_id", "place", "own", F.transform("own", lambda x: x["b"]).alias("pairs_near"), F.get("own", F.col("place") - 1)["b"].alias("bigram"))
+    tried = near.join(F.broadcast(_probed(rows.sparkSession)), "bigram").filter(F.size(F.array_intersect("pairs_near", "pairs")) >= F.col("low"))
+    at = F.transform("own", lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i")))
+    edge = lambda side: (lambda e: F.array_contains("pairs", e["x"]["b"]) if by_word else e["x"][side])
+    before = F.coalesce(F.array_max(F.transform(F.filter(at, lambda e: (e["i"] < F.col("place")) & F.array_contains("probes", e["x"]["b"])), lambda e: e["i"])), F.lit(0))
+    starts = F.filter(at, lambda e: e["i"].between(F.greatest(before + 1, F.col("place") - F.col("high") + 1), F.col("place")) & edge("begins")(e))
+    stops = F.filter(at, lambda e: e["i"].between(F.col("place"), F.col("place") + F.col("high") - 1) & edge("ends")(e))
+    columns = ["doc_id", "license", "m", "low", "high", "pairs", "pairs_near"]
+    spans = tried.select(*columns, F.explode(starts).alias("start"), stops.alias("stops")).select(*columns, "start", F.explode("stops").alias("stop"))
+    long = F.col("stop.i") - F.col("start.i") + 1
+    spans = spans.filter(long.between(F.col("low"), F.col("high"))).select("doc_id", "license", "m", "pairs", F.col("start.x.line").alias("line"), F.explode(F.array(F.slice("pairs_near", F.col("start.i"), long))).alias("own"))
+    return spans.select("doc_id", "license", "line", F.size(F.array_distinct("own")).alias("n"), "m", F.size(F.array_intersect("own", "pairs")).alias("c"))
+
+
+def scanned(docs: DataFrame, by_word: bool = False) -> DataFrame:
+    """doc_id, license, dice (6 decimals), line (from 1; 0 for the whole text) of each licence that a line, a run of consecutive
+    lines or the whole text reaches; by_word: that any run of words reaches, inside a line or over lines. A run has its first line.
 
     Of several units that reach a licence, the one with the greatest coefficient, then the first, is given. Rows with an equal
     doc_id are one document, as are those without. Null, empty and one-word texts reach none; extra columns are not read.
@@ -102,14 +161,16 @@ def scanned(docs: DataFrame) -> DataFrame:
     hits = found.select("doc_id", "line", "n", "unit", F.explode("pairs").alias("bigram")).join(table, "bigram").filter("n between low and high")
     shared = hits.groupBy("doc_id", "line", "n", "unit", "template", "license", "m").agg(F.count("*").alias("c"))
     t = THRESHOLD
-    reached = shared.filter(F.col("c") * 2 * t.denominator >= (F.col("n") + F.col("m")) * t.numerator)
+    runs = _runs(rows if by_word else rows.filter(F.instr("text", "\n") > 0), by_word)
+    counted = shared.select("doc_id", "license", "line", "n", "m", "c").unionByName(runs)
+    reached = counted.filter(F.col("c") * 2 * t.denominator >= (F.col("n") + F.col("m")) * t.numerator)
     dice = F.round(F.col("c") * 2 / (F.col("n") + F.col("m")), 6)
     best = reached.groupBy("doc_id", "license").agg(F.min(F.struct((-dice).alias("less"), "line")).alias("b"))
     return best.select("doc_id", "license", (-F.col("b.less")).alias("dice"), F.col("b.line").cast("long").alias("line"))
 
 
 def sql() -> str:
-    """The same for DuckDB, by comparing every unit to every template."""
+    """The lines and whole texts for DuckDB, by comparing each to every template; it has no runs."""
     rows = ", ".join(f"({i}, '{name}', {len(pairs)}, [{', '.join(repr(p) for p in pairs)}])" for i, name, pairs in template_bigrams())
     words = f"string_split(trim(regexp_replace(translate(unit, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g')), ' ')"
     return f"""

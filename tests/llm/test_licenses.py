@@ -55,3 +55,45 @@ def test_op2(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted((tuple(r) for r in frame.collect()), key=str)
     assert got == brute(rows) and got
+
+
+def runs(rows, by_word):
+    """Every run of lines, or of words, of at most high bigrams."""
+    best = {}
+    for doc, text in rows:
+        words = [(w, i + 1) for i, x in enumerate(text.split("\n")) for w in re.findall("[a-z0-9]+", x.lower())]
+        starts = [i for i in range(len(words)) if by_word or not i or words[i - 1][1] != words[i][1]]
+        stops = {i for i in range(len(words)) if by_word or i + 1 == len(words) or words[i + 1][1] != words[i][1]}
+        for _, name, pairs in licenses.template_bigrams():
+            theirs = {tuple(p.split()) for p in pairs}
+            low, high = licenses.bounds(len(theirs))
+            for a in starts:
+                for b in range(a + low, a + high + 1):
+                    if b in stops:
+                        only = [w for w, _ in words[a : b + 1]]
+                        own = set(zip(only, only[1:]))
+                        dice = Fraction(2 * len(own & theirs), len(own) + len(theirs))
+                        if dice >= licenses.THRESHOLD:
+                            key = (-round(float(dice), 6), words[a][1])
+                            best[doc, name] = min(key, best.get((doc, name), key))
+    return best
+
+
+def test_runs_against_brute_force(spark):
+    prose = lambda k, n: "\n".join(f"line {i} of {k} text\n" for i in range(n))
+    rows = [(i, prose(i, i * 9) + "\n" + "\n".join(f" * {x}" for x in lines) + "\n" + prose(i, 40)) for i, (_, lines) in enumerate(licenses.TEMPLATES)]
+    rows += [(50 + i, "one two " * (5 + i) + " ".join(lines) + " and three four of it" * 30) for i, (_, lines) in enumerate(licenses.TEMPLATES)]
+    rows += [(80 + i, "some words " * 3 + "Released\nunder the " * i + "MIT License for " + str(i) + " more\n" * 3) for i in range(3)]
+    rows += [(90, ("x y\n" * 250 + "Released under\nthe MIT License\n") * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for by_word in (False, True):
+        best = runs(rows, by_word)
+        for doc, name, dice, line in brute(rows):
+            best[doc, name] = min((-dice, line), best.get((doc, name), (0, 0)))
+        got = licenses.scanned(docs, by_word)
+        assert "Python" not in got._jdf.queryExecution().toString()
+        got = {(r.doc_id, r.license): (-r.dice, r.line) for r in got.collect()}
+        assert got == best
+        for i, (name, _) in enumerate(licenses.TEMPLATES):  # wrapped as in the table, in a longer text; inside a paragraph
+            assert got[i, name][0] == -1
+            assert not by_word or got[50 + i, name] == (-1, 1)
