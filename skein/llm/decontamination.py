@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 from skein.llm.common import column, kept_rows, remembered, saved, slices
 
 PERCENT = 8
-#: Items of fewer characters than this, which any text may hold by chance, are not searched.
+#: Items of fewer characters than this, which any text may nearly hold by chance, must occur as they are and as whole words.
 LEAST = 20
 #: Bytes of items that are broadcast at once; more are searched slice by slice.
 SLICE_BYTES = 2 << 20
 _words = re.compile(r"[^\W_]+").findall
+#: Characters of scripts that put no space between words (Thai, Lao, Myanmar, Khmer, kana, Han, half-width kana): each borders on a word.
+_unspaced = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]").match
 
 
 def normal(text: str | None) -> str:
@@ -61,13 +63,24 @@ def myers(item: str, text: str, most: int) -> tuple[int, int] | None:
     return (best, at) if best <= most else None
 
 
+def whole_words(item: str, text: str) -> tuple[int, int] | None:
+    """No errors, and where item first ends in text, both normalised, without cutting a word; None if it does not occur so."""
+    apart = lambda i: not 0 < i < len(text) or any(c == " " or _unspaced(c) for c in text[i - 1 : i + 1])
+    at = text.find(item)
+    while at >= 0:
+        if apart(at) and apart(at + len(item)):
+            return (0, at + len(item))
+        at = text.find(item, at + 1)
+    return None
+
+
 class Matcher:
     """Finds items in normalised texts."""
 
     def __init__(self, items: list[tuple[int, str]]):
         import ahocorasick
 
-        self.items = [(i, t, len(t) * PERCENT // 100) for i, x in items if len(t := normal(x)) >= LEAST]
+        self.items = [(i, t, len(t) * PERCENT // 100 if len(t) >= LEAST else 0) for i, x in items if (t := normal(x))]
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, (_, text, errors) in enumerate(self.items):
             cuts = [len(text) * j // (errors + 1) for j in range(errors + 2)]
@@ -107,6 +120,8 @@ class Matcher:
         for n, spans in self._spans(text).items():
             item_id, item, errors = self.items[n]
             best = None
+            if len(item) < LEAST:
+                best, spans = whole_words(item, text), []
             for a, b in spans:
                 part = text[a:b]
                 at = part.find(item)
@@ -154,7 +169,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, errors, match_end of each row of docs and item that occurs in its whole text.
 
     errors is the least edit distance of any occurrence, match_end where the first of these ends in the normalised text. A null
-    text holds no item. Rows of repeated documents each have theirs; null ids stay; an empty table on either side gives none;
+    text holds no item. Items of fewer than LEAST characters occur only without errors and as whole words. Rows of repeated documents each have theirs; null ids stay; an empty table on either side gives none;
     extra columns are not read. Items that are the same text each match.
     """
     rows = docs.select(column(docs, "doc_id", "long"), column(docs, "text", "string"))

@@ -87,3 +87,11 @@ def test_op4_against_brute_force(spark, sf):
     got = {tuple(r[:3]) for r in op4_benchmark_decontamination(spark, sf).collect()}
     want = {(a, i, m[0]) for a, t in docs.items() for i, x in items.items() if (m := d.myers(x, t, len(x) * d.PERCENT // 100))}
     assert got == want
+
+
+def test_short_items(spark):
+    items = [(1, "What is 17 x 23?"), (2, "日本の首都はどこですか"), (3, "art"), (4, "?"), (5, "")]
+    rows = [(1, "Q: what is 17 x 23 ... 391"), (2, "問題。次の日本の首都はどこですか答えよ"), (3, "a party, an artist, smart"), (4, "party of ART"), (5, "what is 17 x 234? what is 17 x 2"), (6, None)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(map(tuple, d.contaminated(docs, bench).collect())) == [(1, 1, 0, 17), (2, 2, 0, 16), (4, 3, 0, 12)]
+    assert sorted(r.doc_id for r in d.clean(docs, bench).collect()) == [3, 5, 6]
