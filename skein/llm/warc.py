@@ -176,14 +176,15 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from ended()
 
 
-def _mark(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of a block's candidates, those on the chain from its entry."""
-    place = {a: i for i, a in enumerate(rows["at"])}
-    at, kept = int(rows["entry"].iloc[0]), []
+def _mark(rows: pa.Table) -> pa.Table:
+    """Of a block's candidates, those on the chain from its entry. In Arrow, where longs with nulls stay longs."""
+    nexts = rows.column("next").to_pylist()
+    place = {a: i for i, a in enumerate(rows.column("at").to_pylist())}
+    at, kept = rows.column("entry")[0].as_py(), []
     while at in place:
         kept.append(place[at])
-        at = int(rows["next"].iloc[kept[-1]])
-    return rows.iloc[kept].drop(columns="entry")
+        at = nexts[kept[-1]]
+    return rows.take(pa.array(kept, pa.int64())).drop_columns(["entry"])
 
 
 def _assemble(rows: pd.DataFrame) -> pd.DataFrame:
@@ -236,7 +237,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         jump = saved(jump.join(target, ["file", "exit"], "left").select("file", "block", "place", F.coalesce("further", "exit").alias("exit")), "chain")
         entries = saved(entries_next, "entries")
     entry = entries.join(jump.select("file", "block", "place").hint("merge"), ["file", "place"]).join(bases, ["file", "block"]).select("file", "block", (F.col("place") - F.col("base")).alias("entry"))
-    marked = found.filter("at >= 0").join(entry, ["file", "block"]).groupBy("file", "block").applyInPandas(_mark, _CANDIDATE)
+    marked = found.filter("at >= 0").join(entry, ["file", "block"]).groupBy("file", "block").applyInArrow(_mark, _CANDIDATE)
     records = saved(marked, "records")
     whole = records.filter("whole").select(*_FIELDS)
     broken = join_small(records.filter("not whole").select("file", "block", "at", "next"), bases, ["file", "block"], "inner")

@@ -63,3 +63,11 @@ def test_op9(spark, sf):
 
     rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     assert Counter(map(tuple, op9_warc(spark, sf).collect())) == brute(rows)
+
+
+def test_long_ids_stay_exact(spark):
+    n = 2**53 + 1
+    rows = [(n, "u", "x" * 200), (n + 2, "u", "x" * 200), (n + 4, "u", "WARC/1." + "y" * 200), (None, "u", "z" * 200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = sorted(((r.page_id, r.refers_to) for r in warc.written_and_read(pages).collect()), key=str)
+    assert got == sorted([(n, None), (n + 2, n), (n + 4, None), (None, None)], key=str)
