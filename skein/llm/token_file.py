@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.llm.bpe import Pieces, mapped
+from skein.llm.bpe import CUT, Pieces, piece
 from skein.llm.common import column, new_path, remembered, saved, slices
 
 BLOCK = 1024
@@ -153,50 +153,58 @@ def read_index(data: bytes) -> tuple[int, np.ndarray, list[int | None], np.ndarr
 
 
 class Tokens:
-    """Ids of whole texts as the tokenizers library gives them without special tokens around, as little-endian 32-bit bytes."""
+    """Ids of whole texts as the tokenizers library gives them without special tokens around."""
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())  # which the library takes out of a text first
         cut = self.tokenizer.model.tokenize
-        self.pieces = Pieces(pattern, lambda tokens: [[x.id for x in cut(mapped(t.encode("utf-8")))] for t in tokens])
+        self.pieces = Pieces(pattern, lambda tokens: [[x.id for x in cut(piece(t))] for t in tokens], added)
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        out = self.pieces.ids(texts)
-        for i, text in enumerate(texts):
-            if any(a in text for a in self.added):  # which the library takes out of a text first
-                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return out
+    def ended(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end_id after each, and where each text's end."""
+        flat, ends = self.pieces.arrays(texts, lambda text: np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+        ends = ends[1:] + np.arange(1, len(ends))
+        out = np.full(len(flat) + len(ends), end_id, np.uint32)
+        own = np.ones(len(out), bool)
+        own[ends - 1] = False
+        out[own] = flat
+        return out, ends
 
 
 def _frames(path: str, pattern: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = remembered(("tokens", path, pattern), lambda: Tokens(path, pattern)).ids, struct.pack("<I", end_id)
+        tokens = remembered(("tokens", path, pattern), lambda: Tokens(path, pattern))
         held, n, at, frames, docs, sizes = [], 0, 0, [], [], []
-        row = lambda data: pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["frame"])
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            nonlocal held, n, at
+            data = frame(np.concatenate(held))
+            frames.append((at, n))
+            held, n, at = [], 0, at + len(data) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["frame"])
+
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=CUT):
+                ids, ends = tokens.ended(part.column("text"), end_id)
                 docs += part.column("doc_id").to_pylist()
-                for ids in encode([t or "" for t in part.column("text").to_pylist()]):
-                    ids += end
-                    held.append(ids)
-                    sizes.append(len(ids) // 4)
-                    n += len(ids) // 4
+                sizes += np.diff(ends, prepend=0).tolist()
+                start = 0
+                while start < len(ids):
+                    last = int(np.searchsorted(ends, start + FRAME_IDS - n))  # the first document that fills the frame
+                    stop = int(ends[min(last, len(ends) - 1)])
+                    held.append(ids[start:stop])
+                    n += stop - start
+                    start = stop
                     if n >= FRAME_IDS:
-                        data = frame(np.frombuffer(b"".join(held), "<u4"))
-                        frames.append((at, n))
-                        at, held, n = at + len(data) + 1, [], 0
-                        yield row(data)
+                        yield from closed()
         if docs:
             if n:
-                data = frame(np.frombuffer(b"".join(held), "<u4"))
-                frames.append((at, n))
-                at += len(data) + 1
-                yield row(data)
-            yield row(_index(TaskContext.get().partitionId(), frames, docs, sizes, at))
+                yield from closed()
+            yield pa.RecordBatch.from_arrays([pa.array([_index(TaskContext.get().partitionId(), frames, docs, sizes, at)], pa.binary())], names=["frame"])
 
     return run
 
