@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from skein.llm.common import column, remembered, slices
 
 #: Bytes of parts of texts and their ids that a Python worker remembers, and the most of one part.
-LIMIT = 128 << 20
+LIMIT = 96 << 20
 LONG = 64
 #: Bytes that a part takes beside its characters and ids, about.
 ENTRY = 160
 #: Bytes of text that are cut at once.
-CUT = 4 << 20
+CUT = 2 << 20
 _SPACES = (" ", "\n")
 _BETWEEN = re.compile(r"(?<=\w)[ \n](?=\w)")
 _MARK_BEHIND_WORD = r"(\pL)([.,!?;:#%$&*])"
