@@ -21,7 +21,8 @@ from skein.llm.common import column, kept_rows, remembered, slices
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
 WINDOW = 5
-#: Labelled rows that a model is trained on, those of the smallest hashes of doc_id; the documented bound of the sample.
+#: Labelled rows that a model is trained on, half of each kind where there are so many, those of the smallest hashes of doc_id; the
+#: documented bound of the sample.
 SAMPLE = 2000
 #: A text is kept if its calibrated probability of quality is at least this.
 THRESHOLD = 0.3
@@ -29,7 +30,7 @@ BINS = 1 << 12
 CHAR_GRAMS = (2, 3, 4)
 WORD_GRAMS = (1, 2)
 FAMILIES = len(CHAR_GRAMS) + len(WORD_GRAMS)
-#: Characters hashed at once; n-grams do not reach across the cuts of longer texts.
+#: Characters hashed at once; the n-grams of longer texts are counted piece by piece.
 PIECE = 1 << 20
 _MIX = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SYMBOLS = b"#*$%&|<>"
@@ -117,14 +118,52 @@ def grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     yield _bin(pairs[inside]), kept[np.minimum(bounds, len(pairs))]
 
 
-def _pieces(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """Texts cut into pieces, and the number of the text of each."""
-    parts, owner = [], []
-    for i, t in enumerate(texts):
-        for at in range(0, len(t or "") or 1, PIECE):
-            parts.append((t or "")[at : at + PIECE])
-            owner.append(i)
-    return parts, np.array(owner)
+def _counted(bins: np.ndarray) -> np.ndarray:
+    return np.bincount(bins, minlength=BINS)
+
+
+def long_counts(text: str) -> np.ndarray:
+    """How many n-grams of each family fall into each bin, as grams() has them, PIECE characters at a time.
+
+    Characters beyond a piece complete the n-grams that begin in it. A word's hash is a sum over its characters and so grows from piece
+    to piece, and the last whole word stays for the pair with the next.
+    """
+    out = np.zeros((FAMILIES, BINS), np.int64)
+    carry, place, before = None, 0, np.empty(0, np.uint64)  # hash and length of the word that a cut divides, the word before
+    for at in range(0, len(text), PIECE):
+        c = np.frombuffer(text[at : at + PIECE + max(CHAR_GRAMS) - 1].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        for family, n in enumerate(CHAR_GRAMS):
+            own = c[: PIECE + n - 1]
+            h = np.zeros(max(0, len(own) - n + 1), np.uint64)
+            for i in range(n):
+                h += own[i : i + len(h)] * _MIX[100 + 8 * n + i]
+            out[family] += _counted(_bin(h))
+        c = c[:PIECE]
+        blank = (c == 32) | ((c >= 9) & (c <= 13))
+        begin = ~blank
+        begin[1:] &= blank[:-1]
+        first = np.flatnonzero(begin)
+        words = np.empty(0, np.uint64)
+        last = 0
+        if len(first):
+            lengths = np.arange(first[0], len(c)) - np.repeat(first, np.diff(np.append(first, len(c))))
+            if carry is not None and not blank[0]:
+                lengths[: first[1] if len(first) > 1 else None] += place
+            words = np.add.reduceat(np.where(blank[first[0] :], np.uint64(0), (c[first[0] :] + np.uint64(1)) * _MIX[lengths & 63]), first - first[0])
+            last = int(lengths[-1]) + 1
+        if carry is not None:
+            if blank[0]:
+                words = np.append(carry, words)
+            else:
+                words[:1] += carry
+        carry = None
+        if not blank[-1] and at + PIECE < len(text):
+            carry, place, words = words[-1:].copy(), last, words[:-1]
+        out[len(CHAR_GRAMS)] += _counted(_bin(words))
+        words = np.append(before, words)
+        out[len(CHAR_GRAMS) + 1] += _counted(_bin(words[:-1] * _MIX[200] + words[1:] * _MIX[201]))
+        before = words[-1:]
+    return out
 
 
 @dataclass
@@ -137,13 +176,15 @@ class Model:
     shift: float
 
     def probability(self, texts: list[str | None]) -> np.ndarray:
-        parts, owner = _pieces(texts)
         score = np.full(len(texts), self.bias)
-        for family, (bins, bounds) in enumerate(grams(parts)):
+        long = [i for i, t in enumerate(texts) if t and len(t) > PIECE]
+        short = [None if t and len(t) > PIECE else t for t in texts]
+        for family, (bins, bounds) in enumerate(grams(short)):
             sums = np.concatenate(([0.0], np.cumsum(self.weights[family][bins])))
-            total = np.bincount(owner, sums[bounds[1:]] - sums[bounds[:-1]], len(texts))
-            count = np.bincount(owner, np.diff(bounds), len(texts))
-            score += total / np.maximum(count, 1)
+            score += (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(np.diff(bounds), 1)
+        for i in long:
+            counts = long_counts(texts[i])
+            score[i] += ((counts * self.weights).sum(axis=1) / np.maximum(counts.sum(axis=1), 1)).sum()
         return _sigmoid(self.slope * score + self.shift)
 
 
@@ -153,15 +194,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Columns (family x bin) and shares of one text."""
-    cols, shares = [], []
-    for family in range(FAMILIES):
-        cols.append([])
-    parts, _ = _pieces([text])
-    for family, (bins, _) in enumerate(grams(parts)):
-        found, n = np.unique(bins, return_counts=True)
-        cols[family] = found + family * BINS
-        shares.append(n / max(1, n.sum()))
-    return np.concatenate(cols).astype(np.uint16), np.concatenate(shares).astype(np.float32)
+    counts = long_counts(text) if text and len(text) > PIECE else np.stack([_counted(bins) for bins, _ in grams([text])])
+    family, found = np.nonzero(counts)
+    shares = counts[family, found] / np.maximum(counts.sum(axis=1), 1)[family]
+    return (family * BINS + found).astype(np.uint16), shares.astype(np.float32)
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,15 +210,15 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             })
 
 
-def _newton_sigmoid(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Platt's slope and shift, with his targets in place of 0 and 1."""
+def _newton_sigmoid(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Platt's slope and shift, with his targets in place of 0 and 1; rows count by their weight."""
     n1, n0 = y.sum(), (1 - y).sum()
     target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a, b = 1.0, 0.0
     for _ in range(60):
         p = _sigmoid(a * score + b)
-        w = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([((p - target) * score).sum(), (p - target).sum()])
+        w = weight * np.maximum(p * (1 - p), 1e-9)
+        g = np.array([(weight * (p - target) * score).sum(), (weight * (p - target)).sum()])
         h = np.array([[(w * score * score).sum() + 1e-3, (w * score).sum()], [(w * score).sum(), w.sum() + 1e-3]])
         step = np.linalg.solve(h, g)
         a, b = a - step[0], b - step[1]
@@ -191,8 +227,11 @@ def _newton_sigmoid(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(rows: list[tuple[int, int, bytes, bytes]], rounds: int = 200, decay: float = 0.05) -> Model | None:
-    """(doc_id, 0 or 1, columns, shares) -> a model, or None without rows of both kinds. A fifth of the rows is for calibration."""
+def fit(rows: list[tuple[int, int, bytes, bytes]], good: float | None = None, rounds: int = 200, decay: float = 0.05) -> Model | None:
+    """(doc_id, 0 or 1, columns, shares) -> a model, or None without rows of both kinds. A fifth of the rows is for calibration.
+
+    good is the share of good documents that probabilities are calibrated for; that of the rows if it is not given.
+    """
     rows = sorted(rows)
     y = np.array([r[1] for r in rows], float)
     if not len(rows) or min(y.sum(), (1 - y).sum()) < 5:
@@ -227,7 +266,9 @@ def fit(rows: list[tuple[int, int, bytes, bytes]], rounds: int = 200, decay: flo
     w = w * scale
     del c, v, r
     hc, hv, hr, ht = matrix(held)
-    slope, shift = _newton_sigmoid(np.bincount(hr, hv * w[hc], len(ht)) + bias, ht)
+    good = ht.mean() if good is None else good
+    weight = np.where(ht > 0, good / ht.mean(), (1 - good) / (1 - ht.mean()))
+    slope, shift = _newton_sigmoid(np.bincount(hr, hv * w[hc], len(ht)) + bias, ht, weight)
     return Model(w.reshape(FAMILIES, BINS), bias, slope, shift)
 
 
@@ -237,11 +278,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     Labels without doc_id or quality are left out; a document with several labels has the lowest; quality above 0 is good.
     """
     known = labels.select(column(labels, "doc_id", "long"), column(labels, "quality", "int")).dropna()
-    chosen = known.groupBy("doc_id").agg((F.min("quality") > 0).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    each = known.groupBy("doc_id").agg((F.min("quality") > 0).cast("int").alias("y"))
+    n = {r.y: r.n for r in each.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    take = lambda y: min(n.get(y, 0), max(sample // 2, sample - n.get(1 - y, 0)))
+    first = lambda y: each.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(take(y))
+    if not take(0) or not take(1):
+        return None
     texts = docs.select(column(docs, "doc_id", "long"), column(docs, "text", "string"))
-    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))  # at most sample rows
+    chosen = F.broadcast(first(0).unionByName(first(1)))  # at most sample rows
+    found = texts.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
     rows = found.mapInArrow(_featured, "doc_id long, y int, cols binary, shares binary")
-    return fit([(r.doc_id, r.y, bytes(r.cols), bytes(r.shares)) for r in rows.collect()])
+    return fit([(r.doc_id, r.y, bytes(r.cols), bytes(r.shares)) for r in rows.collect()], n[1] / (n[0] + n[1]))
 
 
 def _verdicts(model: Model | None, threshold: float, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

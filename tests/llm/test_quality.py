@@ -81,3 +81,33 @@ def test_held_out_accuracy_and_counts(spark):
     found = [(r.kept, odd[r.doc_id]) for r in even if r.doc_id in odd and not r.base_failed]
     assert sum(k == bool(q) for k, q in found) >= 0.93 * len(found)
     assert {tuple(r) for r in quality.kept(docs, labels).select("doc_id").collect()} == {(r.doc_id,) for r in out if r.kept}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab \né\t", min_size=1, max_size=80), st.integers(1, 30))
+def test_long_texts_have_the_grams_of_uncut_ones(text, piece):
+    want = np.stack([np.bincount(bins, minlength=quality.BINS) for bins, _ in quality.grams([text])])
+    old, quality.PIECE = quality.PIECE, piece
+    try:
+        assert (quality.long_counts(text) == want).all()
+    finally:
+        quality.PIECE = old
+
+
+def test_a_long_text_scores_as_if_uncut(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = quality.Model(rng.normal(size=(quality.FAMILIES, quality.BINS)), 0.3, 1.0, 0.0)
+    text = "".join(rng.choice(list("abcdefgh  \n"), 3_000_000))
+    cut = model.probability(["x", text, None])
+    monkeypatch.setattr(quality, "PIECE", 1 << 30)
+    assert np.allclose(cut, model.probability(["x", text, None]), atol=1e-9)
+
+
+def test_rare_labels_are_drawn(spark, monkeypatch):
+    """30 bad documents among 3000: a sample of 100 has them all, and probabilities are those of the whole table."""
+    rows = [(i, ("bad junk " if i % 100 == 0 else "good text ") * 3 + str(i)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 100 > 0 as int) as quality")
+    model = quality.train(docs, labels, 100)
+    p = model.probability(["bad junk bad junk bad junk 7", "good text good text good text 7"])
+    assert p[0] < 0.5 and p[1] > 0.9
