@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,20 +158,35 @@ def near_copies(docs: DataFrame) -> DataFrame:
     return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """docs with file and row, where a row stands in the files it is read from; what is not read from such files is written first."""
+
+    def placed(rows: DataFrame) -> DataFrame:
+        place = rows.metadataColumn("_metadata")
+        return rows.withColumns({"file": F.xxhash64(place["file_path"]), "row": place["row_index"]})
+
+    try:
+        return placed(docs)
+    except AnalysisException:  # no row numbers
+        return placed(saved(docs, "rows"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs without near copies: of each component, the one with the smallest doc_id (nulls last, then by content) stays.
+    """The rows of docs without near copies: of each component, the one with the smallest doc_id stays.
 
-    Of rows that are equal in every column, one stays. Columns stay as they are; an empty table gives none.
+    Null ids come last; of rows with one doc_id, or with none, the one with the smallest hash of the text stays, then the first in the
+    files; so of equal rows one stays. Nulls and values of other columns play no part. Columns stay as they are; an empty table gives
+    none. Rows are known by their place, and those that go are joined by it: texts move only if too many go to be broadcast.
     """
-    mark = ["__skein_1", "__skein_2"]
-    every = [docs[f"`{c}`"] for c in docs.columns]
-    row = [F.xxhash64(*every).alias(mark[0]), F.hash(*every).alias(mark[1])]
-    rows = saved(fingerprints(docs, [column(docs, "doc_id", "long"), *row]), "simhash")
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *mark)
-    best = rows.groupBy("fp").agg(F.min(rank).alias("best"))
-    first = classes(rows).join(best, "fp").groupBy("root").agg(F.min("best").alias("best")).select("best.*").select(mark)
-    stay = saved(rows.groupBy(mark).agg(F.count("*").alias("n")).join(first, mark), "stay")
-    marked = docs.select("*", *row)
-    once = join_small(marked, stay.filter("n = 1").select(mark), mark, "left_semi").drop(*mark)
-    again = join_small(marked, stay.filter("n > 1").select(mark), mark, "left_semi").drop(*mark)
-    return once.unionByName(again.dropDuplicates())
+    names = docs.columns
+    doc_id, text = (F.col(f"c{names.index(n)}") for n in ("doc_id", "text"))
+    placed = _placed(docs.toDF(*(f"c{i}" for i in range(len(names))))).withColumn("id", F.coalesce(doc_id.cast("long"), F.lit(0)))
+    keyed = placed.select(doc_id.cast("long").alias("doc_id"), F.xxhash64(text).alias("content"), "file", "row", "id", text.cast("string").alias("text"))
+    place = ["file", "row", "id"]
+    rows = saved(fingerprints(keyed, [F.col(c) for c in ("doc_id", "content", *place)]), "simhash")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "id", "content", "file", "row")
+    roots = saved(classes(rows).join(rows.groupBy("fp").agg(F.min(rank).alias("best")), "fp"), "roots")
+    first = roots.groupBy("root").agg(F.min("best").alias("best"))
+    stays = roots.select("fp", "root").join(first, "root").select("fp", "best")
+    gone = saved(rows.join(stays, "fp").filter(rank != F.col("best")).select(place), "gone")
+    return join_small(placed, gone, place, "left_anti").drop(*place).toDF(*names)

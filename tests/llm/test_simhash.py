@@ -124,6 +124,17 @@ def test_one_of_each(spark):
     assert sorted((r[0] is None, r[0] or 0) for r in got.collect()) == [(False, 10), (False, 12), (False, 20), (False, 30), (False, 40), (True, 0)]
 
 
+def test_one_of_each_and_nulls(spark, tmp_path):
+    """Nulls in other columns, equal rows, clashing names, and a table read from files."""
+    rows = [(1, None, "x y z", 1), (7, None, "x y z", None), (7, "x y z", None, 2), (7, "x y z", None, 2), (None, None, None, None), (None, "q", "x y z", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, a string, b string, row long")
+    docs.write.parquet(str(tmp_path / "docs"))
+    for table, want in ((docs.withColumnRenamed("a", "text"), [1, 7, None]), (spark.read.parquet(str(tmp_path / "docs")).withColumnRenamed("b", "text"), [1, 7])):
+        got = simhash.one_of_each(table)
+        assert got.columns == table.columns
+        assert [r.doc_id for r in got.orderBy(got.doc_id.asc_nulls_last()).collect()] == want
+
+
 def test_op6_against_brute_force(spark, sf):
     from skein.llm.queries import op6_simhash_near_dedup
 
