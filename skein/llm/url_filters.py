@@ -1,9 +1,9 @@
 """URL filters: dated list entries become validity intervals, and captures are held against those of their fetch time.
 
-An entry adds a domain (it and all below it) or a URL prefix to the list, or removes it, on a day. Intervals are gathered by host
-once, for the hosts that occur; each capture then looks its host up and keeps the intervals that hold its day. Hosts with no
-entry drop out of that join's small side, which is broadcast if counted small; else Spark splits hot hosts. DataFrame operations
-only.
+An entry adds a domain (it and all below it) or a URL prefix to the list, or removes it, on a day. What decides is joined once for
+each distinct host and day, or address and day: a host's parent domains, and the address's beginnings of the lengths that prefixes
+of its host have, meet the interval of that pattern which holds the day. No pattern, host or day gathers rows; the verdicts are
+broadcast to the captures if counted few, else Spark splits hot hosts. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -45,35 +45,54 @@ def address(url: Column) -> Column:
 def intervals(entries: DataFrame) -> DataFrame:
     """pattern, kind, since, until: the days (until excluded, null for open) on which a pattern is listed.
 
-    Of entries for one pattern and day, removal counts. Entries with nulls are left out; repeated ones change nothing. The window
-    is over the few entries of one pattern.
+    Hosts are compared in lower case, paths as they are. Of entries for one pattern and day, removal counts. Entries with nulls are
+    left out; repeated ones change nothing. The window is over the few entries of one pattern.
     """
     plain = entries.select(*(column(entries, c, t) for c, t in (("pattern", "string"), ("kind", "string"), ("day", "date"), ("action", "string")))).dropna()
-    last = plain.groupBy(F.lower("pattern").alias("pattern"), "kind", "day").agg(F.max((F.col("action") == "remove").cast("int")).alias("removed"))
+    pattern = F.concat(F.lower(F.regexp_extract("pattern", "^[^/]*", 0)), F.regexp_extract("pattern", "^[^/]*(.*)$", 1))
+    last = plain.groupBy(pattern.alias("pattern"), "kind", "day").agg(F.max((F.col("action") == "remove").cast("int")).alias("removed"))
     spans = last.withColumn("until", F.lead("day").over(Window.partitionBy("pattern", "kind").orderBy("day")))
     return spans.filter("removed = 0").select("pattern", "kind", F.col("day").alias("since"), "until")
 
 
+RESULT = ("host", "blocked", "n_entries", "pattern", "since")
+
+
+def _active(asked: DataFrame, spans: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """keys with the number and the best of the intervals that hold their day, as n_name and best_name; asked has keys, day and pattern."""
+    held = asked.join(spans, "pattern").filter("since <= day and (until is null or day < until)")
+    best = F.min(F.struct((-F.length("pattern")).alias("less"), "pattern", "since"))
+    return held.groupBy(*keys).agg(F.count("*").alias(f"n_{name}"), best.alias(f"best_{name}"))
+
+
 def evaluated(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures (with url and fetched, a date) with host, blocked, n_entries, pattern, since.
 
     n_entries counts the entries active on the day of fetching that the URL falls under; of those, the longest pattern (then the
-    first by alphabet) and its day are given. A null, relative or hostless URL, or a null day, falls under none. Every row stays.
+    first by alphabet) and its day are given. A null, relative or hostless URL, or a null day, falls under none. Every row stays, and
+    so do repeated ones; an empty list blocks nothing. Columns of captures that have the names of the five are left out, whatever
+    their case; all others stay, whatever their names.
     """
+    names = captures.columns
+    url, day = (F.col(f"c{names.index(n)}") for n in ("url", "fetched"))
+    rows = captures.toDF(*(f"c{i}" for i in range(len(names)))).withColumns({"host": host(url.cast("string")), "address": address(url.cast("string")), "day": day.cast("date")})
     spans = intervals(entries)
-    spans = spans.withColumn("on", F.when(F.col("kind") == "prefix", F.substring_index("pattern", "/", 1)).otherwise(F.col("pattern")))
-    rows = captures.withColumn("host", host(F.col("url")))
-    hosts = rows.select("host").filter("host is not null").distinct()
+    known = rows.filter("host is not null and day is not null")
     labels = F.split("host", "[.]")
-    suffix = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    under = hosts.select("host", F.explode(suffix).alias("on")).join(spans, "on").filter("kind = 'domain' or on = host")
-    listed = under.groupBy("host").agg(F.collect_set(F.struct("pattern", "kind", "since", "until")).alias("spans"))  # the entries of one host
-    found = join_small(rows, listed, ["host"], "left")
-    holds = lambda s: (F.col("fetched") >= s["since"]) & (s["until"].isNull() | (F.col("fetched") < s["until"])) & ((s["kind"] == "domain") | F.startswith(address(F.col("url")), s["pattern"]))
-    active = F.coalesce(F.filter("spans", lambda s: F.coalesce(holds(s), F.lit(False))), F.array().cast("array<struct<pattern:string,kind:string,since:date,until:date>>"))
-    ranked = F.array_min(F.transform(active, lambda s: F.struct((-F.length(s["pattern"])).alias("less"), s["pattern"].alias("pattern"), s["since"].alias("since"))))
-    return found.withColumn("active", active).withColumn("best", ranked).select(
-        *captures.columns, "host", (F.size("active") > 0).alias("blocked"), F.size("active").cast("long").alias("n_entries"), F.col("best.pattern").alias("pattern"), F.col("best.since").alias("since")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = known.select("host", "day").distinct().select("host", "day", F.explode(parents).alias("pattern"))
+    domains = _active(asked, spans.filter("kind = 'domain'").drop("kind"), ["host", "day"], "domain")
+    prefixes = spans.filter("kind = 'prefix'").drop("kind")
+    lengths = prefixes.select(F.substring_index("pattern", "/", 1).alias("host"), F.length("pattern").alias("length")).distinct()
+    begun = known.select("host", "address", "day").distinct().join(lengths, "host").filter("length <= length(address)")
+    begun = begun.select("address", "day", F.expr("left(address, length)").alias("pattern"))
+    found = join_small(rows, domains, ["host", "day"], "left")
+    found = join_small(found, _active(begun, prefixes, ["address", "day"], "prefix"), ["address", "day"], "left")
+    n = F.coalesce("n_domain", F.lit(0)) + F.coalesce("n_prefix", F.lit(0))
+    best = F.array_min(F.array_compact(F.array("best_domain", "best_prefix")))
+    own = [F.col(f"c{i}").alias(name) for i, name in enumerate(names) if name.lower() not in RESULT]
+    return found.withColumns({"n": n, "best": best}).select(
+        *own, "host", (F.col("n") > 0).alias("blocked"), F.col("n").cast("long").alias("n_entries"), F.col("best.pattern").alias("pattern"), F.col("best.since").alias("since")
     )
 
 

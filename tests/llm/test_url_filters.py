@@ -24,3 +24,19 @@ def test_evaluated(spark):
     }
     assert u.evaluated(captures.limit(0), entries).count() == 0
     assert not any(r.blocked for r in u.evaluated(captures, entries.limit(0)).collect())
+
+
+def test_prefix_paths_keep_their_case(spark):
+    entries = u.values(spark, [("X.y/Blog/", "prefix", "2024-01-01", "add"), ("x.y/Blog/2", "prefix", "2024-01-01", "add"), ("X.Y", "domain", "2024-02-01", "add")])
+    rows = [("http://x.Y/Blog/1", 2), ("http://x.y/blog/1", 2), ("http://x.y/Blog/22", 2), ("http://x.y/Blog/22", 40), ("http://a.x.y/", 40), ("http://x.y", 2)]
+    captures = spark.createDataFrame(rows, "url string, n int").selectExpr("url", "date_add(date'2024-01-01', n) as fetched")
+    got = {(r.url, r.fetched.timetuple().tm_yday - 1): (r.n_entries, r.pattern) for r in u.evaluated(captures, entries).collect()}
+    assert got == {("http://x.Y/Blog/1", 2): (1, "x.y/Blog/"), ("http://x.y/blog/1", 2): (0, None), ("http://x.y/Blog/22", 2): (2, "x.y/Blog/2"), ("http://x.y/Blog/22", 40): (3, "x.y/Blog/2"), ("http://a.x.y/", 40): (1, "x.y"), ("http://x.y", 2): (0, None)}
+
+
+def test_clashing_names(spark):
+    captures = spark.sql("select 'http://casino-win.example.com/' as url, date'2024-02-01' as fetched, 1 as spans, 2 as `a.b`, 3 as HOST, 4 as pattern, 5 as best, 6 as c0, 7 as day, 8 as address")
+    out = u.evaluated(captures, u.values(spark))
+    assert out.columns == ["url", "fetched", "spans", "a.b", "best", "c0", "day", "address", "host", "blocked", "n_entries", "pattern", "since"]
+    assert [tuple(r)[2:-1] for r in out.collect()] == [(1, 2, 5, 6, 7, 8, "casino-win.example.com", True, 1, "casino-win.example.com")]
+    assert u.evaluated(captures, u.values(spark).limit(0)).first().blocked is False
