@@ -2,7 +2,8 @@
 
 Text is normalised to lower-case ASCII words. A unit of n distinct bigrams reaches a coefficient of t with a template of m only
 if n lies between m t / (2 - t) and m (2 - t) / t, and only if it holds one of the template's m - ceil(m t / (2 - t)) + 1 rarest
-bigrams. Size bounds and these probes leave few candidates, whose bigrams are then counted exactly. Runs of lines, or of words, are
+bigrams. Texts without a word that all such units hold one of are left out first. Size bounds and these probes leave few candidates,
+whose bigrams are then counted exactly. Runs of lines, or of words, are
 built only around a template's probes, where enough of its bigrams are near; repeated bigrams count in a run's length, which is
 at most m (2 - t) / t. All of it is DataFrame operations; the templates are constants of this module.
 """
@@ -10,6 +11,7 @@ at most m (2 - t) / t. All of it is DataFrame operations; the templates are cons
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 from math import ceil, floor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +70,29 @@ def probes(pairs: list[str], t: Fraction = THRESHOLD) -> list[str]:
     return pairs[: len(pairs) - ceil(len(pairs) * t / (2 - t)) + 1]
 
 
+def telling(t: Fraction = THRESHOLD) -> list[str]:
+    """Words of which every text with a unit that reaches a template holds one.
+
+    Such a unit holds low of the template's m bigrams, so one of any m - low + 1. Words are added until each template has so many
+    bigrams with one of them.
+    """
+    known = [(pairs, len(pairs) - bounds(len(pairs), t)[0] + 1) for _, _, pairs in template_bigrams()]
+    every = sorted({w for pairs, _ in known for p in pairs for w in p.split()} - _COMMON - {"under"}, key=lambda w: (-len(w), w))
+    chosen: list[str] = []
+    holds = lambda p, w: any(w in x for x in p.split())
+    hit = lambda p: any(holds(p, w) for w in chosen)
+    while left := [(pairs, n) for pairs, need in known if (n := need - sum(map(hit, pairs))) > 0]:
+        gain = lambda w: sum(min(n, sum(not hit(p) and holds(p, w) for p in pairs)) for pairs, n in left)
+        chosen.append(max(every, key=lambda w: gain(w) * min(len(w), 6)))
+    return [w for w in chosen if not any(w != x and x in w for x in chosen)]
+
+
+def _may_hold(rows: DataFrame) -> DataFrame:
+    """Rows whose text holds a telling word: lower case adds letters, but takes away none of a to z and no digit."""
+    words = telling()
+    return rows.filter(F.exists(F.array(F.lower("text")), lambda t: reduce(lambda a, b: a | b, [t.contains(w) for w in words])))
+
+
 def _plain(text) -> F.Column:
     return F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), "[^a-z0-9]+", " "))
 
@@ -152,6 +177,7 @@ def scanned(docs: DataFrame, by_word: bool = False) -> DataFrame:
     every = sorted({p for _, _, pairs in known for p in probes(pairs)})
     low, high = min(bounds(len(p))[0] for _, _, p in known), max(bounds(len(p))[1] for _, _, p in known)
     rows = docs.select(column(docs, "doc_id", "long"), column(docs, "text", "string")).filter("text is not null")
+    rows = _may_hold(rows)
     lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "unit")).select("doc_id", (F.col("at") + 1).alias("line"), "unit")
     whole = rows.filter(F.instr("text", "\n") > 0).select("doc_id", F.lit(0).alias("line"), F.col("text").alias("unit"))
     units = _with_bigrams(lines.unionByName(whole)).withColumn("n", F.size("pairs"))
@@ -170,19 +196,24 @@ def scanned(docs: DataFrame, by_word: bool = False) -> DataFrame:
 
 
 def sql() -> str:
-    """The lines and whole texts for DuckDB, by comparing each to every template; it has no runs."""
+    """For DuckDB: each line, whole text and run of lines compared to every template."""
     rows = ", ".join(f"({i}, '{name}', {len(pairs)}, [{', '.join(repr(p) for p in pairs)}])" for i, name, pairs in template_bigrams())
     words = f"string_split(trim(regexp_replace(translate(unit, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g')), ' ')"
+    pairs = lambda a, b: f"list_distinct(list_transform(range({a}, {b}), lambda i: w[i] || ' ' || w[i + 1]))"
+    most = max(bounds(len(p))[1] for _, _, p in template_bigrams())
     return f"""
 WITH t(template, license, m, pairs) AS (VALUES {rows}),
-parts AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
-units AS (
-  SELECT doc_id, unnest(parts) AS unit, unnest(range(1, len(parts) + 1)) AS line FROM parts
-  UNION ALL SELECT doc_id, text, 0 FROM documents WHERE contains(text, chr(10))),
-w AS (SELECT doc_id, line, {words} AS w FROM units),
-b AS (SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS own FROM w),
+d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+units AS (SELECT r, doc_id, unnest(parts) AS unit, unnest(range(1, len(parts) + 1)) AS line FROM d UNION ALL SELECT r, doc_id, text, 0 FROM d WHERE contains(text, chr(10))),
+w AS (SELECT r, doc_id, line, {words} AS w FROM units),
+l AS (SELECT r, doc_id, line, w, CAST(sum(len(w)) OVER (PARTITION BY r ORDER BY line) AS BIGINT) AS upto FROM w WHERE line > 0 AND w <> ['']),
+whole AS (SELECT r, flatten(list(w ORDER BY line)) AS w FROM l GROUP BY r),
+runs AS (SELECT a.r, a.doc_id, a.line, a.upto - len(a.w) + 1 AS first, b.upto AS last FROM l a JOIN l b ON a.r = b.r AND b.line > a.line AND b.upto - a.upto + len(a.w) <= {most + 1}),
+b AS (
+  SELECT doc_id, line, NULL AS long, {pairs("1", "len(w)")} AS own FROM w
+  UNION ALL SELECT doc_id, line, last - first, {pairs("first", "last")} FROM runs JOIN whole USING (r)),
 s AS (
   SELECT doc_id, line, license, m, len(own) AS n, len(list_intersect(own, pairs)) AS c FROM b, t
-  WHERE len(own) BETWEEN ceil(m * 2 / 3.0) AND floor(m * 1.5)),
-d AS (SELECT doc_id, line, license, round(2.0 * c / (n + m), 6) AS dice FROM s WHERE c * 10 >= (n + m) * 4)
-SELECT doc_id, license, CAST(max(dice) AS DOUBLE) AS dice, CAST(arg_min(line, (-dice, line)) AS BIGINT) AS line FROM d GROUP BY doc_id, license"""
+  WHERE len(own) BETWEEN ceil(m * 2 / 3.0) AND floor(m * 1.5) AND coalesce(long, m) BETWEEN ceil(m * 2 / 3.0) AND floor(m * 1.5)),
+f AS (SELECT doc_id, line, license, round(2.0 * c / (n + m), 6) AS dice FROM s WHERE c * 10 >= (n + m) * 4)
+SELECT doc_id, license, CAST(max(dice) AS DOUBLE) AS dice, CAST(arg_min(line, (-dice, line)) AS BIGINT) AS line FROM f GROUP BY doc_id, license"""

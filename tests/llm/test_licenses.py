@@ -1,6 +1,9 @@
 import re
 from fractions import Fraction
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+
 from skein.llm import licenses
 
 
@@ -97,3 +100,21 @@ def test_runs_against_brute_force(spark):
         for i, (name, _) in enumerate(licenses.TEMPLATES):  # wrapped as in the table, in a longer text; inside a paragraph
             assert got[i, name][0] == -1
             assert not by_word or got[50 + i, name] == (-1, 1)
+
+
+def test_texts_left_out_hold_no_licence():
+    """A unit that reaches a template has so many of its bigrams that one of them holds a telling word."""
+    words = licenses.telling()
+    for _, _, pairs in licenses.template_bigrams():
+        without = [p for p in pairs if not any(w in x for x in p.split() for w in words)]
+        assert len(without) < licenses.bounds(len(pairs))[0]
+
+
+def test_sql_has_runs_of_lines(spark, tmp_path):
+    from tests.oracle import compare
+
+    notices = [lines for _, lines in licenses.TEMPLATES]
+    rows = [(i, "first line\n\n" + "\n".join(lines) + "\nlast line of it\n" + "words and words\n" * 30) for i, lines in enumerate(notices)] + cases()
+    pq.write_table(pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())}), tmp_path / "documents.parquet")
+    scan = lambda s, d: licenses.scanned(s.read.parquet(f"{d}/documents.parquet"))
+    assert compare(spark, str(tmp_path), scan, licenses.sql()) > 60
