@@ -22,9 +22,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine), a folder of this process."""
+    """The folder in spark.checkpoint.dir; where that is unset and all runs on one machine, as in tests, a folder of this process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = os.path.join(tempfile.gettempdir(), f"skein-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -127,13 +127,22 @@ def _frame(rows: list[dict], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({n: pa.array([r.get(n) for r in rows], _TYPES[t]) for n, t in (x.split() for x in schema.split(", "))})
 
 
-def _segments(spark: SparkSession, path: str) -> DataFrame:
+def _seed(spark: SparkSession, path: str) -> int:
+    """A number with which no two files of a folder have the same hash. Only their names are read."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("f"))
+    seed, n = 0, files.count()
+    while files.select(F.xxhash64(F.lit(seed), "f")).distinct().count() < n:
+        seed += 1
+    return seed
+
+
+def _segments(spark: SparkSession, path: str, seed: int) -> DataFrame:
     """file, block and data, in order in each partition: what lies between two magics, in the file's part that begins at block.
 
-    file is the XXH64 of the path: rows stay small where they are joined, and no two of many million files are likely to share one.
+    file is the XXH64 of the seed and the path, so that rows stay small where they are joined.
     """
     lines = spark.read.option("lineSep", MAGIC.decode()).text(path)
-    return lines.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("data"))
+    return lines.select(F.xxhash64(F.lit(seed), "_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("data"))
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
@@ -222,7 +231,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     gives. Only records on the chain from their file's first byte are returned; where a chain breaks (a file cut short or a
     wrong length), it ends. Files may be split anywhere, and payloads may hold any bytes, whole WARC records included.
     """
-    found = saved(_segments(spark, path).mapInArrow(_candidates, _CANDIDATE), "candidates")
+    seed = _seed(spark, path)
+    found = saved(_segments(spark, path, seed).mapInArrow(_candidates, _CANDIDATE), "candidates")
     bases = _bases(found)
     chain = join_small(found.filter("at >= 0").select("file", "block", "at", "exit"), bases, ["file", "block"], "inner")
     chain = chain.select("file", "block", (F.col("base") + F.col("at")).alias("place"), F.when(F.col("exit") >= 0, F.col("base") + F.col("exit")).alias("exit"))
@@ -245,7 +255,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     if spans.isEmpty():
         return whole
     parts = bases.join(spans, "file").filter("start < base + size and stop > base").select("file", "block", "base", "start", "stop")
-    pieces = _segments(spark, path).mapInArrow(_cut, "file long, block long, at long, data binary")
+    pieces = _segments(spark, path, seed).mapInArrow(_cut, "file long, block long, at long, data binary")
     own = join_small(pieces, saved(parts, "parts"), ["file", "block"], "inner").withColumn("place", F.col("base") + F.col("at"))
     own = own.filter("place >= start and place < stop").select("file", "start", "place", "data")
     return whole.unionByName(own.groupBy("file", "start").applyInPandas(_assemble, _RECORD))
