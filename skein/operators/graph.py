@@ -158,11 +158,15 @@ def _unbounded(nodes: DataFrame, edges: DataFrame, roots: list[str], spec: Trave
 
 
 def _checkpoints(spark) -> None:
-    """Where checkpoints go if the cluster has not said: a temporary folder, which only a session on one machine may use."""
+    """Checkpoints go where spark.checkpoint.dir says; where it is unset, to a temporary folder if all runs on one machine."""
     import tempfile
 
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp())
 
 
 def impact(nodes: DataFrame, edges: DataFrame, node: str, max_depth: int = 1, limit: int | None = 200) -> tuple[DataFrame, DataFrame]:
@@ -190,6 +194,15 @@ def impact_by_level(nodes: DataFrame, edges: DataFrame, node: str, max_depth: in
     return nodes.join(seen.filter(F.col("id") != node), "id", "left_semi")
 
 
+def _numbered(level: DataFrame) -> DataFrame:
+    """id and ord, the rank of place among a level's nodes: ranks within ranges of places, after the numbers of rows of earlier ranges."""
+    spread = level.repartitionByRange("place").withColumn("part", F.spark_partition_id()).checkpoint()
+    sizes = spread.groupBy("part").agg(F.count("*").alias("n"))
+    ahead = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))  # a row a part
+    own = F.row_number().over(Window.partitionBy("part").orderBy("place", "id"))
+    return spread.withColumn("own", own).join(F.broadcast(ahead), "part").select("id", (F.col("ahead") + F.col("own")).cast("long").alias("ord"))
+
+
 def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, end: str, max_depth: int = 6, cap: int = 500) -> list[str]:
     """Ids from start to end over outgoing edges, the parent found first winning; empty if there is none, and from a node to itself.
 
@@ -211,10 +224,7 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, end: str, max_
             return path[::-1]
         if found.isEmpty():
             break
-        parts = found.count()
-        order = found.select("id", "place")
-        level = order.withColumn("ord", F.row_number().over(Window.orderBy("place")).cast("long")) if parts <= 100_000 else order.withColumnRenamed("place", "ord")
-        level = level.select("id", "ord").checkpoint()
+        level = _numbered(found.select("id", "place")).checkpoint()
         seen = seen.unionByName(found.select("id"))
     return []
 

@@ -12,9 +12,14 @@ from skein.schema import CALLABLE
 _EXTENSIONS = r"(\.ts)*(\.tsx)*(\.rs)*$"
 
 
+def _clean(hint: Column) -> Column:
+    """What a path must end with to be the module that an import names."""
+    return F.regexp_replace(F.substring_index(hint, "::", -1), _EXTENSIONS, "")
+
+
 def hint_matches(path: Column, hint: Column) -> Column:
     """Whether a file may be the module that an import names: by the end of its path, its stem, or the folder of a mod.rs."""
-    clean = F.regexp_replace(F.substring_index(hint, "::", -1), _EXTENSIONS, "")
+    clean = _clean(hint)
     return F.endswith(F.regexp_replace(path, _EXTENSIONS, ""), clean) | (stem(path) == clean) | (F.endswith(path, F.lit("/mod.rs")) & (base_name(parent(path)) == clean))
 
 
@@ -37,16 +42,40 @@ def own_candidates(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return spread.join(nodes.filter(F.col("kind").isin(*CALLABLE)).select(F.col("id").alias("node"), F.col("file_path").alias("to_path")), "node").distinct()
 
 
-def resolve(refs: DataFrame, nodes: DataFrame, limit: int | None = None) -> DataFrame:
+_COUNTS = ("n_any", "any", "n_callable", "callable")
+
+
+def _counted(rows: DataFrame, *by: Column) -> DataFrame:
+    """Per key, how many nodes and callables there are, and the smallest id of each."""
+    return rows.groupBy(*by).agg(F.sum("n_any").alias("n_any"), F.min("any").alias("any"), F.sum("n_callable").alias("n_callable"), F.min("callable").alias("callable"))
+
+
+def _by_hint(keys: DataFrame, counted: DataFrame) -> DataFrame:
+    """keys (of which each has a module) with the counts of the files of their name that the module may be.
+
+    A file of a name is listed under its stem, its folder if it is a mod.rs, and the ends of its path that are as long as some module
+    of that name; so modules meet files by equality, and files that look alike are counted before they meet.
+    """
+    wanted = keys.withColumn("clean", _clean(F.col("module")))
+    lengths = wanted.groupBy("reference_name").agg(F.collect_set(F.length("clean")).alias("lengths"))  # no longer than paths are
+    bare = F.regexp_replace("to_path", _EXTENSIONS, "")
+    ends = F.transform(F.filter("lengths", lambda n: n <= F.length(bare)), lambda n: F.right(bare, n))
+    others = F.array(stem(F.col("to_path")), F.when(F.endswith("to_path", F.lit("/mod.rs")), base_name(parent(F.col("to_path")))))
+    listed = counted.join(lengths, "reference_name").withColumn("clean", F.explode(F.array_distinct(F.array_compact(F.concat(ends, others)))))
+    return wanted.join(_counted(listed, F.col("reference_name"), F.col("clean")), ["reference_name", "clean"])
+
+
+def resolve(refs: DataFrame, nodes: DataFrame, limit: int | None = None, files: DataFrame | None = None) -> DataFrame:
     """ref, source, target, kind, line, col, tier of the references that have exactly one best candidate.
 
     Calls take their own candidate ids if any of these is a callable, else callables by name; other kinds take any node by name.
     Tiers: exports of the hinted module (which replace all else), files that match the import hint, same file, same folder, and
-    for other kinds than calls any. Only the best tier that has candidates counts; one candidate there links, more do not. limit
-    takes the references with the smallest ids.
+    for other kinds than calls any. Only the best tier that has candidates counts; one candidate there links, more do not. With files
+    (path), references without any candidate try those that a framework's rules name (tier 5). limit takes the references with the
+    smallest ids.
 
-    References of one kind, name and file have the same outcome, and so are ranked once; nodes of one name and file are counted
-    before they are joined. A name that a third of all references or nodes have thus meets as files, not as rows.
+    References of one kind, name and file have the same outcome, and so are ranked once. Each tier is an equi-join with counts by name
+    and file, folder or module, or by name alone: nothing pairs the files that use a name with those that define it.
     """
     if limit is not None:
         refs = refs.orderBy("id").limit(limit)
@@ -62,17 +91,34 @@ def resolve(refs: DataFrame, nodes: DataFrame, limit: int | None = None) -> Data
         F.count("*").alias("n_any"), F.min("id").alias("any"), F.sum(callable.cast("long")).alias("n_callable"), F.min(F.when(callable, F.col("id"))).alias("callable")
     )
     calls = F.col("reference_kind") == "calls"
-    columns = [*_KEY, "module", "to_path", "n", "node"]
-    by_name = keys.filter("own = -1").join(counted, "reference_name").withColumns({"n": F.when(calls, F.col("n_callable")).otherwise(F.col("n_any")), "node": F.when(calls, F.col("callable")).otherwise(F.col("any"))}).filter("n > 0")
-    by_id = keys.filter("own <> -1").join(given, "own").withColumn("n", F.lit(1).cast("long"))
-    every = by_name.select(columns).unionByName(by_id.select(columns))
-    tier = (
-        F.when(hint_matches(F.col("to_path"), F.col("module")), 1).when(F.col("to_path") == F.col("from_path"), 2)
-        .when(parent(F.col("to_path")) == parent(F.col("from_path")), 3).when(~calls, 4)
-    )
-    tiers = every.select(*_KEY, tier.alias("tier"), "n", "node").filter("tier is not null").groupBy(*_KEY, "tier").agg(F.sum("n").alias("n"), F.min("node").alias("node")).unionByName(over)
-    best = tiers.groupBy(*_KEY).agg(F.min(F.struct("tier", "n", "node")).alias("b")).filter("b.n = 1").select(*_KEY, F.col("b.node").alias("target"), F.col("b.tier").alias("tier"))
-    return placed.join(best, _KEY).select(F.col("id").alias("ref"), F.col("from_node_id").alias("source"), "target", F.col("reference_kind").alias("kind"), "line", "col", "tier")
+    plain = keys.filter("own = -1")
+    folder = parent(F.col("to_path")).alias("folder")
+
+    def tier(rows: DataFrame, number: int) -> DataFrame:
+        n, node = F.when(calls, F.col("n_callable")).otherwise(F.col("n_any")), F.when(calls, F.col("callable")).otherwise(F.col("any"))
+        return rows.select(*_KEY, F.lit(number).alias("tier"), n.alias("n"), node.alias("node")).filter("n > 0")
+
+    found = over.unionByName(tier(_by_hint(plain.filter("module is not null"), counted), 1))
+    found = found.unionByName(tier(plain.join(counted.withColumnRenamed("to_path", "from_path"), ["reference_name", "from_path"]), 2))
+    found = found.unionByName(tier(plain.withColumn("folder", parent(F.col("from_path"))).join(_counted(counted, F.col("reference_name"), folder), ["reference_name", "folder"]), 3))
+    found = found.unionByName(tier(plain.filter(~calls).join(_counted(counted, F.col("reference_name")), "reference_name"), 4))
+    own = keys.filter("own <> -1").join(given, "own")
+    near = F.when(hint_matches(F.col("to_path"), F.col("module")), 1).when(F.col("to_path") == F.col("from_path"), 2).when(parent(F.col("to_path")) == parent(F.col("from_path")), 3)
+    found = found.unionByName(own.withColumn("tier", near).filter("tier is not null").groupBy(*_KEY, "tier").agg(F.count("*").alias("n"), F.min("node").alias("node")))
+    best = found.groupBy(*_KEY).agg(F.min(F.struct("tier", "n", "node")).alias("b")).select(*_KEY, "b.*")
+    if files is not None:
+        best = best.unionByName(_fallback(keys.join(best, _KEY, "left_anti"), counted, files))
+    single = best.filter("n = 1").select(*_KEY, F.col("node").alias("target"), "tier")
+    return placed.join(single, _KEY).select(F.col("id").alias("ref"), F.col("from_node_id").alias("source"), "target", F.col("reference_kind").alias("kind"), "line", "col", "tier")
+
+
+def _fallback(keys: DataFrame, counted: DataFrame, files: DataFrame) -> DataFrame:
+    """Of keys without candidates, the nodes of their name, or of its last segment, in the files that a framework's rules name."""
+    names = keys.select(F.col("reference_name").alias("name"), "from_path").distinct()
+    named = framework_hints(names, files).select(F.col("name").alias("full"), "from_path", F.col("path").alias("to_path"))
+    sought = named.withColumn("reference_name", F.explode(F.array_distinct(F.array(F.substring_index("full", "::", -1), F.col("full")))))
+    held = sought.join(counted, ["reference_name", "to_path"]).groupBy("full", "from_path").agg(F.sum("n_any").alias("n"), F.min("any").alias("node"))
+    return keys.join(held.withColumnRenamed("full", "reference_name"), ["reference_name", "from_path"]).select(*_KEY, F.lit(5).alias("tier"), "n", "node")
 
 
 # Hints of frameworks: possible files of a name, of which those that exist count.
@@ -107,7 +153,7 @@ def framework_paths(name: Column, from_path: Column) -> dict[str, Column]:
         F.when(name.rlike(r"^[A-Z]\w*(\.\w+)+$"), F.array(*[F.concat(F.lit(b), dotted, F.lit(".cs")) for b in ("", "src/", "Services/", "Models/")]))
         .when(name.rlike("^[A-Z][A-Za-z0-9]*$"), F.array(F.concat(F.lit("**/"), name, F.lit(".razor")), F.concat(F.lit("**/"), name, F.lit(".cs"))))
     )
-    psr = F.replace(F.regexp_replace(name, r"^App\\\\", r"app\\\\"), F.lit("\\"), F.lit("/"))
+    psr = F.replace(F.when(F.startswith(name, F.lit("App\\")), F.concat(F.lit("app"), F.substring(name, 4, 1000))).otherwise(name), F.lit("\\"), F.lit("/"))
     laravel = (
         F.when(name.contains("\\"), F.array(F.concat(psr, F.lit(".php")), F.concat(F.lit("src/"), psr, F.lit(".php"))))
         .when(name.isin(_FACADES), F.array(F.concat(F.lit("app/Facades/"), name, F.lit(".php"))))
