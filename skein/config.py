@@ -47,6 +47,7 @@ class Security:
     max_guardrail_hits_per_session: int = 100
     max_blocked_calls_per_session: int = 25
     max_read_then_write_events_per_session: int = 10
+    audit_log: bool = False
 
 
 SECTIONS = {"indexing": Indexing, "context": ContextSettings, "sync": Sync, "vectors": Vectors, "security": Security}

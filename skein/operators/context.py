@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import lines
 from skein.operators.graph import Traversal, subgraph
-from skein.operators.search import search
+from skein.operators.search import Index
 
 
 @dataclass
@@ -52,9 +52,11 @@ def slices(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     return found.select("id", F.array_join(F.slice(lines(F.col("content")), F.greatest(F.col("start_line"), F.lit(1)).cast("int"), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0)).cast("int")), "\n").alias("code"))
 
 
-def build(task: str, nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, max_nodes: int = 20, max_blocks: int = 5, max_block_bytes: int = 1500, depth: int = 1) -> Context:
-    """A context of at most max_nodes entry points; only these bounded rows come to the driver."""
-    entries = [r.asDict() for r in search(nodes, task, None, max_nodes).collect()]
+def build(task: str, nodes: DataFrame | Index, edges: DataFrame, sources: DataFrame | None = None, max_nodes: int = 20, max_blocks: int = 5, max_block_bytes: int = 1500, depth: int = 1) -> Context:
+    """A context of at most max_nodes entry points; only these bounded rows come to the driver. nodes may be their search index."""
+    index = nodes if isinstance(nodes, Index) else Index.of(nodes)
+    nodes = index.docs
+    entries = [r.asDict() for r in index.search(task, None, max_nodes).collect()]
     near, between = subgraph(nodes, edges, [e["id"] for e in entries], Traversal(depth, ("contains", "calls"), None, "both", 4 * max_nodes)) if entries else (nodes.limit(0), edges.limit(0))
     blocks = []
     if sources is not None and entries:

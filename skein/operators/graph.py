@@ -17,6 +17,16 @@ def _order(other: str) -> list[Column]:
     return [F.coalesce("line", F.lit(0)), F.coalesce("col", F.lit(0)), F.col(other)]
 
 
+def by_name(nodes: DataFrame, name: str) -> DataFrame:
+    return nodes.filter(F.col("name") == name)
+
+
+def by_file(nodes: DataFrame, file: str, kind: str | None = None) -> DataFrame:
+    """A file's nodes (of a kind) in order of their lines."""
+    found = nodes.filter(F.col("file_path") == file)
+    return (found.filter(F.col("kind") == kind) if kind else found).orderBy("start_line", "id")
+
+
 def adjacent(edges: DataFrame, node: str, direction: str = OUT, kind: str | None = None, limit: int = 50) -> DataFrame:
     """A node's edges of one direction in order of line, column and other end, up to the limit."""
     mine, other = ("source", "target") if direction == OUT else ("target", "source")
@@ -231,7 +241,7 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, end: str, max_
 
 def resolve_name(nodes: DataFrame, name: str, file: str | None = None) -> DataFrame:
     """Nodes of a name (in a file), with how many there are: one resolves, none is not found, more are ambiguous."""
-    found = nodes.filter(F.col("name") == name)
+    found = by_name(nodes, name)
     found = found.filter(F.col("file_path") == file) if file else found
     return found.withColumn("n", F.count("*").over(Window.partitionBy("name")))
 

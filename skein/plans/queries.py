@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein import schema
 from skein.functions import text
-from skein.operators import audit, graph, guard, resolve, search, vectors
+from skein.operators import audit, graph, guard, outline, resolve, search, vectors
 from skein.plans.adapters import WITH, Graph, table
 from skein.plans.adapters import graph as adapted
 from skein.sources import globs
@@ -84,12 +85,12 @@ def _(g: Graph):
 
 @on_graph("find_by_name", f"SELECT {NODE_LIST} FROM nodes WHERE name = 'red widget'")
 def _(g):
-    return g.nodes.filter("name = 'red widget'").select(*NODE_LIST.split(", "))
+    return graph.by_name(g.nodes, "red widget").select(*NODE_LIST.split(", "))
 
 
 @on_graph("nodes_by_file", f"SELECT {NODE_LIST} FROM nodes WHERE file_path = 'part/ECONOMY/Brand#2.x' AND kind = 'function' ORDER BY start_line, id")
 def _(g):
-    return g.nodes.filter("file_path = 'part/ECONOMY/Brand#2.x' and kind = 'function'").orderBy("start_line", "id").select(*NODE_LIST.split(", "))
+    return graph.by_file(g.nodes, "part/ECONOMY/Brand#2.x", "function").select(*NODE_LIST.split(", "))
 
 
 @on_tables("find_file", "documents", f"SELECT path FROM (SELECT {PATHS} AS path FROM documents) WHERE regexp_matches(path, '/f[^/]*1[^/][.]rs$') AND NOT regexp_matches(path, '(^|/)(node_modules|target|[.])') ORDER BY path LIMIT 50")
@@ -100,8 +101,7 @@ def _(docs):
 
 @on_tables("list_dir", "documents", f"SELECT DISTINCT split_part(path, '/', 2) || CASE WHEN len(string_split(path, '/')) > 2 THEN '/' ELSE '' END AS entry FROM (SELECT {PATHS} AS path FROM documents) WHERE split_part(path, '/', 1) = 'src1'")
 def _(docs):
-    parts = F.split(F.expr(PATHS), "/")
-    return docs.filter(parts[0] == "src1").select(F.concat(parts[1], F.when(F.size(parts) > 2, "/").otherwise("")).alias("entry")).distinct()
+    return globs.entries(docs.select(F.expr(PATHS).alias("path")), "src1")
 
 
 @on_tables("read_range", "documents", """
@@ -111,19 +111,40 @@ def _(docs):
     return docs.select("doc_id", text.line_range(F.col("text"), 2, 3).alias("r")).select("doc_id", "r.*")
 
 
-@on_tables("outline_headings", "pages", "SELECT page_id, unnest(regexp_extract_all(html, '<h1[^>]*>([^<]*)</h1>', 1)) AS title FROM pages")
-def _(pages):
-    return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<h1[^>]*>([^<]*)</h1>"), F.lit(1))).alias("title"))
-
-
 _REFS = "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"/([^\"]+)\"', 1)) AS name FROM pages"
 _KEYWORDS = ", ".join(f"'{w}'" for w in text.NOT_SYMBOLS)
 
 
-@on_tables("codespan_refs", "pages", f"SELECT name, count(*) AS n FROM ({_REFS}) GROUP BY name")
-def _(pages):
-    names = pages.select(F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]+)"'), F.lit(1))).alias("name"))
-    return names.groupBy("name").agg(F.count("*").alias("n"))
+#: Markdown built of documents: headings of both forms, fences, code spans, and the document's own lines.
+_MARKDOWN = r"""concat('Intro `', lang, '_zero`\n# ', source, ' ', doc_id, ' ##\nSee `', source, '::item', doc_id % 5, '()()` and `if`, `', n_chars, '` or `two words`.\n```\n# no\n`no_ref`\n```\n',
+  CASE WHEN doc_id % 3 = 0 THEN 'Under\n=====\n' WHEN doc_id % 3 = 1 THEN 'Less\n---\n' ELSE '   ###### Deep\n' END, text, '\nThen `', lang, '_name` and `', lang, '_name`.\n####### none\n')"""
+_MARKDOWN_SQL = _MARKDOWN.replace("'", "\x00").replace("\\n", "' || chr(10) || '").replace("\x00", "'")
+_TICKS = "`([^`]+)`"
+_OUTLINE = rf"""WITH f AS (SELECT concat('d', doc_id, '.md') AS path, {_MARKDOWN_SQL} AS content FROM documents),
+s AS (SELECT path, string_split(regexp_replace(content, '\n$', ''), chr(10)) AS parts FROM f),
+l AS (SELECT path, unnest(parts) AS text, unnest(range(1, len(parts) + 1)) AS line FROM s),
+m AS (SELECT *, CASE WHEN regexp_matches(text, '^ {{0,3}}(```|~~~)') THEN 1 ELSE 0 END AS mark FROM l),
+n AS (SELECT *, sum(mark) OVER w % 2 = 1 OR mark = 1 AS fenced, lead(text) OVER w AS under, regexp_extract(text, '^ {{0,3}}(#{{1,6}})([ \t]+|$)', 1) AS signs,
+  regexp_matches(text, '^ {{0,3}}[^\s#>|*+-]') AND NOT regexp_matches(text, '^ {{0,3}}\d+[.)] ') AS plain FROM m WINDOW w AS (PARTITION BY path ORDER BY line)),
+o AS (SELECT *, CASE WHEN fenced THEN NULL WHEN signs <> '' THEN length(signs) WHEN plain AND regexp_matches(under, '^ {{0,3}}=+[ \t]*$') THEN 1 WHEN plain AND regexp_matches(under, '^ {{0,3}}-+[ \t]*$') THEN 2 END AS level FROM n),
+h AS (SELECT *, CASE WHEN level IS NOT NULL THEN trim(regexp_replace(regexp_replace(text, '^ {{0,3}}#{{1,6}}([ \t]|$)', ''), '[ \t]+#+[ \t]*$', '')) END AS title FROM o)"""
+
+
+def _markdown_files(docs):
+    return docs.select(F.concat(F.lit("d"), "doc_id", F.lit(".md")).alias("path"), F.expr(_MARKDOWN).alias("content"))
+
+
+@on_tables("outline_headings", "documents", f"{_OUTLINE} SELECT path, line, CAST(level AS BIGINT) AS level, title FROM h WHERE level IS NOT NULL")
+def _(docs):
+    return outline.headings(_markdown_files(docs))
+
+
+@on_tables("codespan_refs", "documents", rf"""{_OUTLINE}, a AS (SELECT *, last_value(title IGNORE NULLS) OVER (PARTITION BY path ORDER BY line) AS section FROM h),
+c AS (SELECT path, line, section, unnest(list_distinct(regexp_extract_all(text, '{_TICKS}', 1))) AS span FROM a WHERE NOT fenced AND level IS NULL),
+r AS (SELECT path, line, section, trim(regexp_replace(span, '(\(\))+$', '')) AS name FROM c)
+SELECT path, line, name, section FROM r WHERE strlen(name) >= 2 AND NOT contains(name, ' ') AND NOT regexp_matches(name, '^[0-9._]+$') AND regexp_matches(name, '^[\p{{L}}_]') AND name NOT IN ({_KEYWORDS})""")
+def _(docs):
+    return outline.code_spans(_markdown_files(docs)).select("path", "line", "name", "section")
 
 
 @on_tables("symbol_like", "pages", f"SELECT DISTINCT name FROM ({_REFS}) WHERE strlen(name) >= 2 AND NOT contains(name, ' ') AND NOT regexp_matches(name, '^[0-9._]+$') AND regexp_matches(name, '^[\\p{{L}}_]') AND name NOT IN ({_KEYWORDS})")
@@ -272,11 +293,38 @@ def _(g):
     return _nodes_and_edges(graph.dependents(g.nodes, g.edges, "s:3", 1, None))
 
 
-@on_graph("bfs_both_limit", """, o AS (SELECT 0 AS dir, *, row_number() OVER (ORDER BY coalesce(line, 0), coalesce(col, 0), target, kind) AS nth FROM edges WHERE source = 'p:5'
-  UNION ALL SELECT 1, *, row_number() OVER (ORDER BY coalesce(line, 0), coalesce(col, 0), source, kind) FROM edges WHERE target = 'p:5')
-SELECT source, target, kind, line, col FROM o WHERE nth <= 60 ORDER BY dir, nth LIMIT 60""")
+def _limited_sql(root: str, limit: int, depth: int, directions: tuple[int, ...], kinds: tuple[str, ...] = ()) -> str:
+    """Edges of a first-in, first-out search up to a limit: all of a level before the next, nodes in the order in which they are found."""
+    place = f"list_position([{', '.join(map(repr, kinds))}], kind)" if kinds else "0"
+    sides = " UNION ALL ".join(f"SELECT {'source AS here, target' if d == 0 else 'target AS here, source'} AS other, {d} AS dir, {place} AS kind_at, * FROM edges" for d in directions)
+    out = [f", st AS (SELECT * FROM ({sides}) WHERE kind_at IS NOT NULL)", f"f0 AS (SELECT '{root}' AS here, 1 AS ord)"]
+    for d in range(depth + 1):
+        seen = " UNION ALL ".join(f"SELECT here FROM f{i}" for i in range(d + 1))
+        out.append(f"e{d} AS (SELECT st.*, ord, row_number() OVER (PARTITION BY st.here, dir, kind_at ORDER BY coalesce(line, 0), coalesce(col, 0), other, kind) AS nth FROM st JOIN f{d} ON f{d}.here = st.here)")
+        out.append(f"r{d} AS (SELECT *, row_number() OVER (ORDER BY ord, dir, kind_at, nth) AS turn FROM e{d})")
+        out.append(f"f{d + 1} AS (SELECT other AS here, row_number() OVER (ORDER BY min(turn)) AS ord FROM r{d} WHERE other NOT IN ({seen}) GROUP BY other)")
+    every = " UNION ALL ".join(f"SELECT {d} AS level, turn, source, target, kind, line, col FROM r{d}" for d in range(depth + 1))
+    return f"{', '.join(out)} SELECT source, target, kind, line, col FROM ({every}) ORDER BY level, turn LIMIT {limit}"
+
+
+@on_graph("bfs_both_limit", _limited_sql("p:5", 150, 1, (0, 1)))
 def _(g):
-    return graph.subgraph(g.nodes, g.edges, ["p:5"], graph.Traversal(max_depth=0, limit=60))[1]
+    return graph.subgraph(g.nodes, g.edges, ["p:5"], graph.Traversal(max_depth=1, limit=150))[1]
+
+
+@on_graph("bfs_impact_limit", _limited_sql("p:5", 200, 2, (1,), ("calls", "references")))
+def _(g):
+    return graph.impact(g.nodes, g.edges, "p:5", 2)[1]
+
+
+@on_graph("bfs_dependencies_limit", _limited_sql("p:9", 50, 2, (0,)))
+def _(g):
+    return graph.dependencies(g.nodes, g.edges, "p:9")[1]
+
+
+@on_graph("bfs_dependents_limit", _limited_sql("r:1", 50, 2, (1,)))
+def _(g):
+    return graph.dependents(g.nodes, g.edges, "r:1")[1]
 
 
 @on_graph("impact_levelsync", """, r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY coalesce(line, 0), coalesce(col, 0), source, kind) AS nth FROM edges),
@@ -289,12 +337,23 @@ def _(g):
 def _path_query(spark, sf_dir):
     g = adapted(spark, sf_dir)
     path = graph.shortest_path(g.nodes, g.edges, "p:5", "s:3")
-    return spark.createDataFrame([(len(path), bool(path))], "length long, path_found boolean")
+    return spark.createDataFrame([(i, x) for i, x in enumerate(path, 1)], "step long, id string")
+
+
+def _path_sql(start: str, end: str, depth: int, cap: int = 500) -> str:
+    """Of each level, the nodes in the order in which they are found, each with the path over the parent that found it first."""
+    out = [f"k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY coalesce(line, 0), coalesce(col, 0), target, kind) AS nth FROM edges)", f"p0 AS (SELECT '{start}' AS id, 1 AS ord, ['{start}'] AS path)"]
+    for d in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT id FROM p{i}" for i in range(d))
+        out.append(f"c{d} AS (SELECT target AS id, ord, nth, list_append(path, target) AS path FROM k JOIN p{d - 1} ON source = p{d - 1}.id WHERE nth <= {cap} AND target NOT IN ({seen}))")
+        out.append(f"b{d} AS (SELECT * FROM c{d} QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord, nth) = 1)")
+        out.append(f"p{d} AS (SELECT id, row_number() OVER (ORDER BY ord, nth) AS ord, path FROM b{d})")
+    every = " UNION ALL ".join(f"SELECT path FROM p{d} WHERE id = '{end}'" for d in range(1, depth + 1))
+    return f", {', '.join(out)}, one AS (SELECT path FROM ({every}) ORDER BY len(path) LIMIT 1) SELECT unnest(range(1, len(path) + 1)) AS step, unnest(path) AS id FROM one"
 
 
 QUERIES["shortest_path"] = _path_query
-SQL["shortest_path"] = f"""{WITH}, w(id, d) AS (SELECT 'p:5', 0 UNION SELECT target, d + 1 FROM w JOIN edges ON source = w.id WHERE d < 3), b AS (SELECT min(d) AS d FROM w WHERE id = 's:3')
-SELECT CAST(coalesce(d + 1, 0) AS BIGINT) AS length, d IS NOT NULL AS path_found FROM b"""
+SQL["shortest_path"] = WITH + _path_sql("p:5", "s:3", 4)
 
 
 @on_graph("resolve_name_ambiguity", "SELECT id, name, count(*) OVER (PARTITION BY name) AS n FROM nodes WHERE name = 'red widget' AND file_path = 'part/ECONOMY/Brand#17.x'")
@@ -386,11 +445,24 @@ def _(g):
     return resolve.resolve(g.refs, g.nodes)
 
 
-@on_tables("framework_hints", "part", """WITH n AS (SELECT DISTINCT concat('crate::', p_type, '::m', p_size) AS name FROM part), f AS (SELECT DISTINCT concat('src/', p_type, '/m', p_size, '.rs') AS path FROM part WHERE p_size % 3 = 0)
-SELECT name, 'src/main.rs' AS from_path, 'rust' AS framework, path FROM n JOIN f ON path = concat('src/', replace(substr(name, 8), '::', '/'), '.rs')""")
+_HINTED = (
+    # a name, the file that uses it, the framework and the path that it stands for, by p_type and p_size
+    ("concat('crate::', p_type, '::m', p_size)", "'src/main.rs'", "rust", "concat('src/', p_type, '/m', p_size, '.rs')"),
+    ("concat('super::m', p_size)", "'src/a/b/c.rs'", "rust", "concat('src/a/m', p_size, '/mod.rs')"),
+    ("concat('./', p_type, p_size)", "'web/app/main.tsx'", "react", "concat('web/app/', p_type, p_size, '/index.tsx')"),
+    ("concat('@/', p_type, p_size)", "'web/app/main.tsx'", "react", "concat('src/', p_type, p_size, '.jsx')"),
+    ("concat('Shop', p_size, '.Order')", "'Pages/Index.razor'", "blazor", "concat('Services/Shop', p_size, '/Order.cs')"),
+    (r"concat('App\\Models\\M', p_size)", "'app/Http/C.php'", "laravel", "concat('app/Models/M', p_size, '.php')"),
+    ("concat('mail.m', p_size)", "'app/Http/C.php'", "laravel", "concat('resources/views/mail/m', p_size, '.blade.php')"),
+)
+_HINTS_SQL = " UNION ".join(f"SELECT {n} AS name, {f} AS from_path, '{k}' AS framework, {p} AS path FROM part WHERE p_size % 3 = 0" for n, f, k, p in _HINTED)
+
+
+@on_tables("framework_hints", "part", _HINTS_SQL.replace("\\\\", "\\"))
 def _(part):
-    names = part.select(F.concat(F.lit("crate::"), "p_type", F.lit("::m"), "p_size").alias("name"), F.lit("src/main.rs").alias("from_path")).distinct()
-    files = part.filter("p_size % 3 = 0").select(F.concat(F.lit("src/"), "p_type", F.lit("/m"), "p_size", F.lit(".rs")).alias("path")).distinct()
+    union = lambda frames: reduce(lambda a, b: a.unionByName(b), frames).distinct()
+    names = union([part.select(F.expr(n).alias("name"), F.expr(f).alias("from_path")) for n, f, _, _ in _HINTED])
+    files = union([part.filter("p_size % 3 = 0").select(F.expr(p).alias("path")) for *_, p in _HINTED])
     return resolve.framework_hints(names, files)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INCLUDE = [f"**/*.{e}" for e in "ts tsx js jsx py go rs java c h cpp hpp cc cxx cs php rb liquid razor".split()]
@@ -67,3 +67,11 @@ def found_by_name(name: Column, pattern: str) -> Column:
     if not re.search(r"[*?\[]", pattern):
         return name.contains(pattern)
     return reduce(lambda a, b: a & b, [name.rlike(to_regex(pattern))])
+
+
+def entries(paths: DataFrame, folder: str) -> DataFrame:
+    """entry: what lies right under a folder among paths, folders with a slash behind their names."""
+    rest = F.substring("path", len(folder) + 2, 1 << 20) if folder else F.col("path")
+    inside = paths.filter(F.startswith("path", F.lit(f"{folder}/"))) if folder else paths
+    parts = F.split(rest, "/")
+    return inside.select(F.concat(parts[0], F.when(F.size(parts) > 1, "/").otherwise("")).alias("entry")).distinct()

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein import schema
+from skein.functions.text import parent
 from skein.operators.outline import code_spans, headings
 from skein.sources.parsers import parse
 
@@ -33,7 +34,7 @@ def file_rows(path: str, language: str, text: str) -> list[dict]:
     symbols, calls = parse(language, text)
     seen: set[str] = set()
     for kind, name, scope, start, end, column, signature in symbols:
-        qualified = "::".join([path, *scope, name])
+        qualified = "::".join([path, *([] if kind == "module" else scope), name])
         own = node_id(path, kind, qualified, start, column)
         ids.append(own)
         if own in seen:
@@ -62,16 +63,21 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(file_rows(path, language, text), _ARROW)
 
 
-def ingest(files: DataFrame) -> dict[str, DataFrame]:
-    """The rows that files (as tree.read gives them) add to the graph tables; each file is parsed by itself, in parallel."""
+def ingest(files: DataFrame, paths: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The rows that files (as tree.read gives them) add to the graph tables; each file is parsed by itself, in parallel.
+
+    paths (path) are all files of the tree, which Rust's modules may name; those of files if it is not given.
+    """
     rows = files.select("path", "language", "content").mapInArrow(_parse, _ROW)
     now = int(time.time() * 1000)
+    every = rows.unionByName(markdown(files), allowMissingColumns=True)
     empty = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in ("docstring string", "visibility string", "decorators array<string>", "type_parameters array<string>")}
     flags = {c: F.lit(False) for c in ("is_async", "is_static", "is_abstract")}
-    nodes = rows.filter("what = 'node'").withColumnRenamed("path", "file_path").withColumns({**empty, **flags, "updated_at": F.lit(now)})
-    edges = rows.filter("what = 'edge'").withColumn("metadata", F.lit(None).cast("map<string,string>"))
-    refs = rows.filter("what = 'ref'").select(F.xxhash64("source", "name", "line", "col").alias("id"), F.col("source").alias("from_node_id"), F.col("name").alias("reference_name"), F.col("kind").alias("reference_kind"), "line", "col", "candidates")
-    counts = rows.filter("what = 'node'").groupBy("path").agg(F.count("*").alias("node_count"))
+    nodes = _module_targets(every.filter("what = 'node'"), files if paths is None else paths)
+    nodes = nodes.withColumnRenamed("path", "file_path").withColumns({**empty, **flags, "updated_at": F.lit(now)})
+    edges = every.filter("what = 'edge'").withColumn("metadata", F.lit(None).cast("map<string,string>"))
+    refs = every.filter("what = 'ref'").select(F.xxhash64("source", "name", "line", "col").alias("id"), F.col("source").alias("from_node_id"), F.col("name").alias("reference_name"), F.col("kind").alias("reference_kind"), "line", "col", "candidates")
+    counts = every.filter("what = 'node'").groupBy("path").agg(F.count("*").alias("node_count"))
     listed = files.drop("content").withColumns({"indexed_at": F.lit(now)}).join(counts, "path", "left")
     return {
         "nodes": nodes.select([c.split()[0] for c in schema.NODES.split(", ")]), "edges": edges.select("source", "target", "kind", "metadata", "line", "col"), "unresolved_refs": refs,
@@ -79,8 +85,27 @@ def ingest(files: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def markdown(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Headings as module nodes (id, kind, name, file_path, signature, start_line) and code spans as references of their section."""
+def _module_targets(nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """nodes, with the file that a Rust module stands for, if it is there, as its signature: name.rs, else name/mod.rs beside its file."""
+    is_module = (F.col("kind") == "module") & (F.col("language") == "rust")
+    base = F.concat(parent(F.col("path")), F.when(F.contains("path", F.lit("/")), F.lit("/")).otherwise(F.lit("")), F.col("name"))
+    guesses = F.array(F.struct(F.concat(base, F.lit(".rs")).alias("guess"), F.lit(0).alias("turn")), F.struct(F.concat(base, F.lit("/mod.rs")).alias("guess"), F.lit(1).alias("turn")))
+    tried = nodes.filter(is_module).select("id", F.explode(guesses).alias("g")).select("id", "g.*")
+    found = tried.join(paths.select(F.col("path").alias("guess")), "guess").groupBy("id").agg(F.min_by("guess", "turn").alias("target_file"))
+    return nodes.join(found, "id", "left").withColumn("signature", F.coalesce("target_file", "signature")).drop("target_file")
+
+
+def markdown(files: DataFrame) -> DataFrame:
+    """Rows of markdown files: headings as modules of the file, and code spans as references of the heading above them, or of the file."""
     docs = files.filter("language = 'markdown'")
-    found = headings(docs).select(schema.node_id(F.col("path"), F.lit("module"), F.concat_ws("::", "path", "title"), F.col("line"), F.lit(0)).alias("id"), F.lit("module").alias("kind"), F.col("title").alias("name"), F.col("path").alias("file_path"), F.concat(F.lit("h"), F.col("level")).alias("signature"), F.col("line").alias("start_line"))
-    return found, code_spans(docs)
+    file_id = schema.node_id(F.col("path"), F.lit("file"), F.col("path"), F.lit(1), F.lit(0))
+    section = lambda title, line: schema.node_id(F.col("path"), F.lit("module"), F.concat_ws("::", "path", title), F.col(line), F.lit(0))
+    found = headings(docs).withColumn("own", section("title", "line"))
+    nodes = found.select(
+        "path", F.lit("node").alias("what"), F.col("own").alias("id"), F.lit("module").alias("kind"), F.col("title").alias("name"), F.concat_ws("::", "path", "title").alias("qualified_name"), F.lit("markdown").alias("language"),
+        F.col("line").alias("start_line"), F.col("line").alias("end_line"), F.lit(0).cast("long").alias("start_column"), F.lit(0).cast("long").alias("end_column"), F.concat(F.lit("h"), F.col("level")).alias("signature"), F.lit(False).alias("is_exported"),
+    )
+    edges = found.select("path", F.lit("edge").alias("what"), F.lit("contains").alias("kind"), file_id.alias("source"), F.col("own").alias("target"), "line", F.lit(0).cast("long").alias("col"))
+    source = F.when(F.col("section_line").isNull(), file_id).otherwise(section("section", "section_line"))
+    refs = code_spans(docs).select("path", F.lit("ref").alias("what"), F.lit("references").alias("kind"), source.alias("source"), "name", "line", "col")
+    return nodes.unionByName(edges, allowMissingColumns=True).unionByName(refs, allowMissingColumns=True)

@@ -16,6 +16,8 @@ _DECLARATIONS = {
 _METHOD = re.compile(rf"(?:^|[;{{}}\n])[ \t]*(?:(?:public|private|protected|static|final|async|override|virtual|inline|const|unsigned|export)\s+)*(?:[\w:<>\[\],*&?]+[ \t*&]+)*{_NAME}\s*\([^;{{}}()]*(?:\([^()]*\)[^;{{}}()]*)*\)\s*(?::\s*[\w<>\[\]|, ]+)?\s*\{{")
 _IMPORTS = re.compile(r"""^[ \t]*(?:import\s+(?P<what>[^;'"\n]*?)\s*(?:from\s*)?['"](?P<from>[^'"\n]+)['"]|use\s+(?P<use>[\w:]+(?:::\{[^}]*\})?)(?:\s+as\s+(?P<alias>\w+))?\s*;|import\s+(?P<java>[\w.]+)\s*;|using\s+(?P<using>[\w.]+)\s*;|\#include\s*[<"](?P<include>[^>"\n]+)[>"])""", re.M | re.X)
 _EXPORT = re.compile(rf"^[ \t]*export\s+(?:default\s+)?(?:async\s+)?(?:function\*?|class|interface|enum|const|let|var|type)\s+{_NAME}", re.M)
+_REEXPORT = re.compile(rf"""^[ \t]*export\s+(?:type\s+)?(?:\{{(?P<names>[^}}]*)\}}|\*(?:\s+as\s+(?P<all>{_NAME}))?|default\s+(?P<default>{_NAME})\s*;?\s*$)(?:\s*from\s*['"](?P<source>[^'"\n]+)['"])?""", re.M)
+_MODULE = re.compile(rf"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?mod\s+{_NAME}\s*([;{{])", re.M)
 _CALL = re.compile(rf"{_NAME}\s*\(")
 _WORDS = frozenset("if for while switch catch return function fn func fun match loop else do new sizeof typeof await class using lock foreach elseif super".split())
 
@@ -39,6 +41,22 @@ def _imports(text: str):
             yield m.start(), found.split(".")[-1], found
 
 
+def _exports(text: str, plain: str):
+    """(start, end, name, source) of export lists, re-exports and default exports of names; * for all of a module."""
+    for m in _REEXPORT.finditer(text):
+        if plain[m.start() : m.end()].strip()[:6] != "export" or m["default"] in ("function", "class", "async", "abstract", "new"):
+            continue
+        if m["names"] is not None:
+            for part in m["names"].split(","):
+                words = part.replace("type ", "").split()
+                if words:
+                    yield m.start(), m.end(), words[-1], m["source"]
+        elif m["default"]:
+            yield m.start(), m.end(), "default", None
+        else:
+            yield m.start(), m.end(), m["all"] or "*", m["source"]
+
+
 def parse(language: str, text: str):
     plain = _BLANK.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
     starts = [0, *(m.end() for m in re.finditer("\n", text))]
@@ -68,8 +86,13 @@ def parse(language: str, text: str):
     containers = [(s, e, n) for s, e, k, n, _ in found.values() if k not in ("function", "method") and e > s]
     rows = [(s, e, k if k != "method" or any(a < s < b for a, b, _ in containers) or language == "go" else "function", n, sig) for s, e, k, n, sig in found.values()]
     rows += [(at, at, "import", name, signature) for at, name, signature in _imports(text)]
+    if language == "rust":  # a module's own symbols are not taken up
+        modules = [(m.start(), pairs.get(m.end() - 1, m.end()), m[1]) for m in _MODULE.finditer(plain)]
+        rows = [r for r in rows if not any(a < r[0] < b for a, b, _ in modules)]
+        rows += [(a, b, "module", name, None) for a, b, name in modules if not any(x < a < y for x, y, _ in modules)]
     if language in ("type_script", "java_script", "tsx", "jsx"):
         rows += [(m.start(), m.end(), "export", m[1], None) for m in _EXPORT.finditer(plain)]
+        rows += [(start, end, "export", name, source) for start, end, name, source in _exports(text, plain)]
     rows.sort(key=lambda r: (r[0], r[2], r[3]))
     symbols = []
     for s, e, kind, name, signature in rows:

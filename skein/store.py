@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein import schema
+from skein.operators import search
 
 TABLES = {"nodes": schema.NODES, "edges": schema.EDGES, "files": schema.FILES, "unresolved_refs": schema.REFS, "vectors": schema.VECTORS}
 
@@ -37,18 +37,37 @@ def valid_batches(nodes: DataFrame) -> DataFrame:
     return nodes.join(bad, "file_path", "left_anti").select(nodes.columns)
 
 
+def without_refused(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """New rows without those of files in which an id occurs twice."""
+    nodes = valid_batches(tables["nodes"])
+    refused = tables["nodes"].select(F.col("file_path").alias("path")).distinct().join(nodes.select(F.col("file_path").alias("path")).distinct(), "path", "left_anti")
+    return {n: t for n, t in without_files(tables, refused).items() if n in tables}
+
+
 class Store:
-    """Snapshots under a root that Spark can write; a one-row table CURRENT names the snapshot in force. One writer at a time."""
+    """Snapshots under a root that Spark can write, numbered in the names of their folders. An empty file of the same number, made
+    when all tables are written, puts a snapshot in force; the highest such number counts. The newest two snapshots are kept."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _path(self, name: str = ""):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
+
+    @property
+    def _files(self):
+        return self._path().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _numbers(self) -> list[int]:
+        """Snapshots that are whole, in order."""
+        if not self._files.exists(self._path()):
+            return []
+        names = [f.getPath().getName() for f in self._files.listStatus(self._path())]
+        return sorted(int(n.removeprefix("DONE-")) for n in names if re.fullmatch(r"DONE-\d+", n))
+
     def _pointer(self) -> str | None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT")
-        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            return None
-        return self.spark.read.text(f"{self.root}/CURRENT").first()[0]
+        numbers = self._numbers()
+        return f"snapshot-{numbers[-1]:010}" if numbers else None
 
     def tables(self) -> dict[str, DataFrame]:
         now = self._pointer()
@@ -57,11 +76,30 @@ class Store:
         return {n: self.spark.read.schema(s).parquet(f"{self.root}/{now}/{n}") for n, s in TABLES.items()}
 
     def commit(self, tables: dict[str, DataFrame]) -> None:
-        """Writes all tables to a new snapshot, then points to it: readers see the old or the new one, never a part."""
-        name = uuid.uuid4().hex
+        """Writes all tables and the search index to a new snapshot, then puts it in force: readers see the old or the new one, never a
+        part, and a writer that is stopped leaves the old one. Of two writers at once, the later fails."""
+        numbers = self._numbers()
+        number = (numbers[-1] if numbers else 0) + 1
+        at = f"{self.root}/snapshot-{number:010}"
+        if self._files.exists(self._path(f"snapshot-{number:010}")):
+            self._files.delete(self._path(f"snapshot-{number:010}"), True)  # of a writer that was stopped
         for n in TABLES:
-            tables[n].write.parquet(f"{self.root}/{name}/{n}")
-        self.spark.range(1).select(F.lit(name)).coalesce(1).write.mode("overwrite").text(f"{self.root}/CURRENT")
+            tables[n].write.parquet(f"{at}/{n}")
+        nodes = self.spark.read.schema(schema.NODES).parquet(f"{at}/nodes")
+        search.postings(nodes).repartitionByRange("term", "id").sortWithinPartitions("term").write.parquet(f"{at}/postings")
+        search.lengths(nodes).write.parquet(f"{at}/lengths")
+        self._files.create(self._path(f"DONE-{number}"), False).close()
+        for old in numbers[:-1]:
+            self._files.delete(self._path(f"DONE-{old}"), False)
+            self._files.delete(self._path(f"snapshot-{old:010}"), True)
+
+    def index(self) -> search.Index:
+        """The search index of the nodes in force: a query reads the row groups of postings that hold its terms."""
+        now = self._pointer()
+        nodes = self.tables()["nodes"]
+        if now is None:
+            return search.Index.of(nodes)
+        return search.Index(nodes, self.spark.read.parquet(f"{self.root}/{now}/postings"), self.spark.read.parquet(f"{self.root}/{now}/lengths"))
 
     def clear(self) -> None:
         self.commit({n: self.spark.createDataFrame([], s) for n, s in TABLES.items()})

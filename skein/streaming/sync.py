@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.store import without_files
+from skein.store import without_files, without_refused
+
+#: Kinds of edges that parsing alone makes.
+STRUCTURAL = ("contains", "imports", "exports")
 
 
 def difference(scanned: DataFrame, tracked: DataFrame, by_hash_only: bool = False) -> DataFrame:
@@ -22,11 +25,28 @@ def difference(scanned: DataFrame, tracked: DataFrame, by_hash_only: bool = Fals
     return both.select("path", change.alias("change")).filter("change is not null")
 
 
-def synchronised(tables: dict[str, DataFrame], scanned: DataFrame, parse: Callable[[DataFrame], dict[str, DataFrame]]) -> dict[str, DataFrame]:
-    """The graph tables after removing what is gone and parsing what is new or has another hash. parse maps files to the tables' rows."""
+def again_unresolved(tables: dict[str, DataFrame], gone: DataFrame) -> DataFrame:
+    """The references that edges from other files into nodes of some files (path) were made of."""
+    ends = tables["nodes"].select("id", "name", F.col("file_path").alias("path"))
+    inside = ends.join(gone.select("path"), "path", "left_semi").select("id", "name")
+    into = tables["edges"].filter(~F.col("kind").isin(*STRUCTURAL)).join(inside.select(F.col("id").alias("target"), F.col("name").alias("reference_name")), "target")
+    into = into.join(inside.select(F.col("id").alias("source")), "source", "left_anti")
+    found = into.select(F.xxhash64("source", "reference_name", "line", "col").alias("id"), F.col("source").alias("from_node_id"), "reference_name", F.col("kind").alias("reference_kind"), "line", "col", F.lit(None).cast("array<string>").alias("candidates"))
+    return found.dropDuplicates(["id"]).join(tables["unresolved_refs"].select("id"), "id", "left_anti")
+
+
+def synchronised(tables: dict[str, DataFrame], scanned: DataFrame, parse: Callable[[DataFrame], dict[str, DataFrame]], compat: bool = False) -> dict[str, DataFrame]:
+    """The graph tables after removing what is gone and parsing what is new or has another hash. parse maps files to the tables' rows.
+
+    Edges from other files into files that changed become unresolved references again; with compat they are lost until the other
+    files change. New files in which an id occurs twice are refused as a whole.
+    """
     changes = difference(scanned, tables["files"], by_hash_only=True)
-    left = without_files(tables, changes.filter("change <> 'added'"))
-    fresh = parse(scanned.join(changes.filter("change <> 'removed'"), "path", "left_semi"))
+    gone = changes.filter("change <> 'added'")
+    left = without_files(tables, gone)
+    if not compat:
+        left["unresolved_refs"] = left["unresolved_refs"].unionByName(again_unresolved(tables, gone).join(left["nodes"].select(F.col("id").alias("from_node_id")), "from_node_id", "left_semi"))
+    fresh = without_refused(parse(scanned.join(changes.filter("change <> 'removed'"), "path", "left_semi")))
     return {name: left[name].unionByName(fresh[name], allowMissingColumns=True) if name in fresh else left[name] for name in left}
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skein.config import Config
 from skein.functions import text
-from skein.operators import audit, context, graph, guard, resolve, search, vectors
+from skein.operators import audit, context, graph, guard, resolve, vectors
 from skein.sources import globs, ingest, tree
 from skein.store import Memories, Store, upserted
 from skein.streaming.sync import difference, synchronised
@@ -21,9 +21,37 @@ from skein.streaming.sync import difference, synchronised
 TOOLS: dict[str, Callable] = {}
 SEARCH_KINDS = ("function", "method", "class", "struct", "interface", "trait", "module")
 EDGE_KINDS = ("calls", "imports", "extends", "implements", "references")
+PAGE = 100
+_ONE = "node_id name file"
+_NUMBERS = frozenset("limit max_depth depth max_nodes start_line max_code_blocks max_code_block_size traversal_depth".split())
+_FLAGS = frozenset("include_body include_edges include_code show_stale show_undocumented".split())
+#: What each tool does, its parameters, and those it cannot do without.
+SCHEMAS: dict[str, tuple[str, str, str]] = {
+    "search": ("Search symbols by name, qualified name and documentation", "query kind file limit", "query"),
+    "find_symbol": ("Find symbols by words of their names, with their code if wanted", "name_pattern kind file limit include_body", "name_pattern"),
+    "callers": ("What calls a function or method", f"{_ONE} limit", ""), "callees": ("What a function or method calls", f"{_ONE} limit", ""),
+    "find_references": ("What refers to a symbol", f"{_ONE} edge_kind limit", ""), "impact": ("What a change of a symbol reaches", f"{_ONE} max_depth max_nodes", ""),
+    "dependencies": ("What a symbol depends on", f"{_ONE} depth limit", ""), "dependents": ("What depends on a symbol", f"{_ONE} depth limit", ""),
+    "path": ("The shortest path from one symbol to another", "from_id from_name from_file to_id to_name to_file max_depth", ""), "node": ("All that is known of a symbol, with its code", f"{_ONE} include_edges", ""),
+    "get_symbols_overview": ("The symbols of a file by kind", "file_path", "file_path"), "get_file_nodes": ("The symbols of a file", "file_path kind", "file_path"),
+    "stats": ("Counts by language and kind", "", ""), "status": ("Counts of all tables", "", ""), "session_status": ("What this session has called and what guards have found", "", ""),
+    "read_file": ("Lines of a file", "path start_line limit", "path"), "list_dir": ("The entries of a folder", "path", ""), "find_file": ("Files by name", "pattern limit", "pattern"),
+    "get_config": ("The settings, or one section of them", "section", ""), "update_config": ("Change a setting", "section key value", "section key value"), "sync": ("Take up what has changed", "", ""),
+    "semantic_search": ("Search symbols by meaning", "query limit min_similarity", "query"), "context": ("Entry points, code and files for a task", "task max_nodes max_code_blocks max_code_block_size traversal_depth include_code format", "task"),
+    "audit_docs": ("Stale references and undocumented exports", "limit show_stale show_undocumented", ""), "write_memory": ("Keep a text under a name", "name content", "name content"),
+    "read_memory": ("Read a kept text", "name", "name"), "list_memories": ("Names of kept texts", "", ""), "delete_memory": ("Delete a kept text", "name", "name"),
+    "edit_memory": ("Replace in a kept text", "name pattern replacement mode", "name pattern replacement"),
+}
 _BRIEF = ("id", "kind", "name", "qualified_name", "file_path", "start_line")
 
 
+def input_schema(name: str) -> dict:
+    """The JSON schema of a tool's parameters."""
+    _, parameters, needed = SCHEMAS[name]
+    kind = lambda p: {} if p == "value" else {"type": "integer" if p in _NUMBERS else "boolean" if p in _FLAGS else "number" if p == "min_similarity" else "string"}
+    return {"type": "object", "properties": {p: kind(p) for p in parameters.split()}, "required": needed.split()}
+
+
 class ToolError(Exception):
     """code is invalid_params, not_found or internal_error."""
 
@@ -72,14 +100,15 @@ class Project:
         files = self.scanned()
         changes = {r["change"]: r["count"] for r in difference(files, before["files"], True).groupBy("change").count().collect()}
         if changes:
-            self.store.commit(synchronised(before, files, ingest.ingest))
+            paths = tree.listed(self.spark, self.root, self.config.indexing.include_patterns, [*self.config.indexing.exclude_patterns, "**/.skein/**"], self.config.indexing.max_file_size).select("path")
+            self.store.commit(synchronised(before, files, lambda fresh: ingest.ingest(fresh, paths)))
             self.link()
         return {"added": changes.get("added", 0), "modified": changes.get("modified", 0), "removed": changes.get("removed", 0)}
 
     def link(self) -> int:
         """Turns the references that resolve into edges."""
         now = self.store.tables()
-        found = resolve.resolve(now["unresolved_refs"], now["nodes"]).cache()
+        found = resolve.resolve(now["unresolved_refs"], now["nodes"], files=now["files"].select("path")).cache()
         n = found.count()
         if n:
             now["edges"] = now["edges"].unionByName(found.select("source", "target", "kind", "line", "col"), allowMissingColumns=True)
@@ -121,24 +150,53 @@ class Project:
         if s.enabled and s.enforce:
             over = len(self.calls) > s.max_tool_calls_per_session or sum(c[2] for c in self.calls) > s.max_guardrail_hits_per_session or sum(c[3] for c in self.calls) > s.max_blocked_calls_per_session
             if over or self._transitions() > s.max_read_then_write_events_per_session:
-                self.calls.append((name, risk, 0, 1))
+                self._ended(name, risk, 0, 1, params)
                 raise ToolError("internal_error", "a session limit is passed")
-        out = TOOLS[name](self, params or {})
         hits = 0
+        if s.enabled:
+            given = self.spark.createDataFrame([(json.dumps(params or {}, ensure_ascii=False, default=str),)], "text string")
+            hits = guard.input_hits(given).first()["input_hits"]
+            if hits and s.enforce:
+                self._ended(name, risk, hits, 1, params)
+                raise ToolError("invalid_params", "the arguments are denied")
+        try:
+            out = TOOLS[name](self, params or {})
+        except ToolError:
+            self._ended(name, risk, hits, 0, params)
+            raise
         if s.enabled:
             row = guard.decided(self.spark.createDataFrame([(json.dumps(out, ensure_ascii=False, default=str),)], "text string"), policy=guard.Policy(s.enforce, max_chars=s.max_output_chars)).first()
-            hits = row["hits"]
+            hits += row["hits"]
             if row["decision"] == "deny":
-                self.calls.append((name, risk, hits, 1))
+                self._ended(name, risk, hits, 1, params)
                 raise ToolError("internal_error", "the output is denied")
             if row["decision"] == "redact":
                 try:
                     out = json.loads(row["text"])
                 except ValueError:
                     out = {"text": row["text"]}
-        self.calls.append((name, risk, hits, 0))
+        self._ended(name, risk, hits, 0, params)
         return out
 
+    def _ended(self, name: str, risk: str, hits: int, blocked: int, params: dict | None) -> None:
+        """Counts a call and adds it to the day's audit log, by the hash of its arguments."""
+        self.calls.append((name, risk, hits, blocked))
+        if self.config.security.audit_log:
+            folder = f"{self.root}/.skein/logs"
+            os.makedirs(folder, exist_ok=True)
+            event = {"at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "tool": name, "risk": risk, "hits": hits, "blocked": blocked, "arguments": self.argument_hash(params or {})}
+            with open(f"{folder}/audit-{time.strftime('%Y-%m-%d', time.gmtime())}.jsonl", "a") as file:
+                file.write(json.dumps(event) + "\n")
+
+    def list_tools(self, cursor: str | None = None) -> dict:
+        """Name, description and input schema of up to 100 tools from a cursor on, by name, and the cursor of what follows."""
+        if cursor is not None and not (cursor.isdigit() and int(cursor) <= len(SCHEMAS)):
+            raise ToolError("invalid_params", "no such cursor")
+        start = int(cursor or 0)
+        names = sorted(SCHEMAS)
+        page = [{"name": n, "description": SCHEMAS[n][0], "inputSchema": input_schema(n)} for n in names[start : start + PAGE]]
+        return {"tools": page} | ({"nextCursor": str(start + PAGE)} if start + PAGE < len(names) else {})
+
     def _transitions(self) -> int:
         return sum(a[1] == "read_like" and b[1] == "write_like" for a, b in zip(self.calls, self.calls[1:]))
 
@@ -150,8 +208,8 @@ def _found(p: Project, q: dict, key: str) -> DataFrame:
     if not q.get(key):
         raise ToolError("invalid_params", f"{key} is needed")
     kind = q.get("kind") if q.get("kind") in SEARCH_KINDS else None
-    limit = int(q.get("limit", 10))
-    return search.search_in_file(p.nodes, q[key], q["file"], kind, limit) if q.get("file") else search.search(p.nodes, q[key], kind, limit)
+    limit, index = int(q.get("limit", 10)), p.store.index()
+    return index.search_in_file(q[key], q["file"], kind, limit) if q.get("file") else index.search(q[key], kind, limit)
 
 
 @tool
@@ -247,8 +305,7 @@ def get_symbols_overview(p: Project, q: dict) -> dict:
 
 @tool
 def get_file_nodes(p: Project, q: dict) -> dict:
-    found = p.nodes.filter(F.col("file_path") == q["file_path"])
-    rows = _rows((found.filter(F.col("kind") == q["kind"]) if q.get("kind") else found).orderBy("start_line", "id"))
+    rows = _rows(graph.by_file(p.nodes, q["file_path"], q.get("kind")))
     return {"nodes": rows, "count": len(rows)}
 
 
@@ -324,7 +381,7 @@ def semantic_search(p: Project, q: dict) -> dict:
 def context_(p: Project, q: dict) -> dict:
     c = p.config.context
     code = _sources(p) if q.get("include_code", True) else None
-    found = context.build(q["task"], p.nodes, p.edges, code, int(q.get("max_nodes", c.max_nodes)), int(q.get("max_code_blocks", c.max_code_blocks)), int(q.get("max_code_block_size", c.max_code_block_size)), int(q.get("traversal_depth", c.traversal_depth)))
+    found = context.build(q["task"], p.store.index(), p.edges, code, int(q.get("max_nodes", c.max_nodes)), int(q.get("max_code_blocks", c.max_code_blocks)), int(q.get("max_code_block_size", c.max_code_block_size)), int(q.get("traversal_depth", c.traversal_depth)))
     return json.loads(found.json()) if q.get("format") == "json" else {"text": found.markdown()}
 
 
