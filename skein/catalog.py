@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from skein.plans import queries as plans
+from skein.plans import trees  # noqa: F401  registers its queries
 
 
 def queries() -> dict[str, plans.Query]:
