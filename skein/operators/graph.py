@@ -154,7 +154,7 @@ def subgraph(nodes: DataFrame, edges: DataFrame, roots: list[str], spec: Travers
 def _unbounded(nodes: DataFrame, edges: DataFrame, roots: list[str], spec: Traversal) -> tuple[DataFrame, DataFrame]:
     """All that is within reach, level by level as DataFrames; each level's nodes are written down to end their lineage."""
     spark = nodes.sparkSession
-    _checkpoints(spark)
+    checkpoints(spark)
     steps = _steps(edges, spec)
     level = spark.createDataFrame([(r,) for r in dict.fromkeys(roots)], "id string")
     seen = level.withColumn("depth", F.lit(0))
@@ -167,7 +167,7 @@ def _unbounded(nodes: DataFrame, edges: DataFrame, roots: list[str], spec: Trave
     return out, steps.join(seen.select(F.col("id").alias("at")), "at", "left_semi").select(*edges.columns)
 
 
-def _checkpoints(spark) -> None:
+def checkpoints(spark) -> None:
     """Checkpoints go where spark.checkpoint.dir says; where it is unset, to a temporary folder if all runs on one machine."""
     import tempfile
 
@@ -194,7 +194,7 @@ def dependents(nodes: DataFrame, edges: DataFrame, node: str, max_depth: int = 2
 
 def impact_by_level(nodes: DataFrame, edges: DataFrame, node: str, max_depth: int = 3, cap: int = 100) -> DataFrame:
     """Nodes that reach a node over any kind within max_depth levels, the first cap incoming edges of each followed; without the node."""
-    _checkpoints(nodes.sparkSession)
+    checkpoints(nodes.sparkSession)
     level = nodes.sparkSession.createDataFrame([(node,)], "id string")
     seen = level
     for _ in range(max_depth):
@@ -219,7 +219,7 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, end: str, max_
     Parents of each level are chosen on executors; the driver takes the path only, one row a level.
     """
     spark = nodes.sparkSession
-    _checkpoints(spark)
+    checkpoints(spark)
     level = spark.createDataFrame([(start, 0)], "id string, ord long")
     seen, levels = level.select("id"), []
     for _ in range(max_depth):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.functions.text import base_name, parent, stem
+from skein.operators.graph import checkpoints
 from skein.schema import CALLABLE
 
 _EXTENSIONS = r"(\.ts)*(\.tsx)*(\.rs)*$"
@@ -83,13 +84,14 @@ def resolve(refs: DataFrame, nodes: DataFrame, limit: int | None = None, files:
     given = own_candidates(refs, nodes)
     marked = refs.join(given.select(F.col("own").alias("id"), F.lit(True).alias("given")).distinct(), "id", "left")
     placed = marked.join(paths, "from_node_id").withColumn("own", F.when(F.col("given"), F.col("id")).otherwise(F.lit(-1)))
-    keys = hints(placed.select(_KEY).distinct(), nodes)
+    checkpoints(nodes.sparkSession)
+    keys = hints(placed.select(_KEY).distinct(), nodes).checkpoint()  # each tier reads them
     exports = nodes.filter("kind = 'export'").groupBy(F.col("signature").alias("module"), F.col("name").alias("export")).agg(F.count("*").alias("n"), F.min("id").alias("node"))
     over = keys.join(exports, ["module", "export"]).select(*_KEY, F.lit(0).alias("tier"), "n", "node")
     callable = F.col("kind").isin(*CALLABLE)
     counted = nodes.groupBy(F.col("name").alias("reference_name"), F.col("file_path").alias("to_path")).agg(
         F.count("*").alias("n_any"), F.min("id").alias("any"), F.sum(callable.cast("long")).alias("n_callable"), F.min(F.when(callable, F.col("id"))).alias("callable")
-    )
+    ).checkpoint()
     calls = F.col("reference_kind") == "calls"
     plain = keys.filter("own = -1")
     folder = parent(F.col("to_path")).alias("folder")
