@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.text import is_supported, language
+from skein.operators.graph import checkpoints
 from skein.sources.globs import included
 
 MAX_FILE_BYTES = 1 << 20
@@ -16,8 +17,10 @@ def listed(spark: SparkSession, root: str, include: list[str] | None = None, exc
     root = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path").alias("full"), "length", "modificationTime")
     rows = files.withColumn("path", F.substring(F.regexp_replace("full", "^[a-z]+:/*", "/"), len(root) + 2, 1 << 20))
+    checkpoints(spark)
+    rows = rows.checkpoint()
     venvs = rows.filter(F.col("path").rlike("(^|/)pyvenv[.]cfg$")).select(F.regexp_replace("path", "/?pyvenv[.]cfg$", "").alias("folder"))
-    fit = rows.filter(included(F.col("path"), include, exclude) & (F.col("length") <= max_bytes) & is_supported(language(F.col("path"))))
+    fit = rows.filter(included(F.col("path"), include, exclude) & (F.col("length") <= max_bytes) & is_supported(language(F.col("path")))).checkpoint()  # so that no constraint of these long expressions is carried on
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     inside = fit.select("path", F.explode(above).alias("folder")).join(venvs, "folder").select("path").distinct()
