@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import resolve
 from skein.plans.adapters import table
 from skein.plans.queries import QUERIES, SQL, on_tables
+from skein.scratch import folder, saved
 from skein.sources import ingest
 from skein.store import TABLES, upserted
 from skein.streaming.sync import difference, stream_changes, synchronised
@@ -49,7 +46,7 @@ UNION ALL SELECT {_DOC}, 'module', {_BRAND}, 1, 1, 'h1' FROM part WHERE p_partke
 
 @on_tables("ingest_nodes", "part", f"SELECT file_path, kind, name, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, signature FROM ({_NODES})")
 def _(part):
-    return ingest.ingest(_files(part))["nodes"].select("file_path", "kind", "name", "start_line", "end_line", "signature")
+    return ingest.ingest(_files(part), once=False)["nodes"].select("file_path", "kind", "name", "start_line", "end_line", "signature")
 
 
 def _named(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -79,7 +76,7 @@ def _(part):
 
 def linked(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The tables after their references were resolved: those that were are edges."""
-    found = resolve.resolve(tables["unresolved_refs"], tables["nodes"], files=tables["files"].select("path"))
+    found = saved(resolve.resolve(tables["unresolved_refs"], tables["nodes"], files=tables["files"].select("path")))
     out = dict(tables)
     out["edges"] = tables["edges"].unionByName(found.select("source", "target", "kind", "line", "col"), allowMissingColumns=True)
     out["unresolved_refs"] = tables["unresolved_refs"].join(found.select(F.col("ref").alias("id")), "id", "left_anti").select(tables["unresolved_refs"].columns)
@@ -90,35 +87,18 @@ _LINKED = f"""SELECT 'calls' AS kind, concat('f', p_partkey) AS source, concat('
 UNION ALL SELECT 'references', {_BRAND}, concat('f', p_partkey), 2 FROM part WHERE p_partkey % 10 = 0"""
 
 
-def _written(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The tables as a snapshot on disk, which ends their lineage."""
-    spark = tables["nodes"].sparkSession
-    at = _scratch(spark)
-    for n, t in tables.items():
-        t.write.parquet(f"{at}/{n}")
-    return {n: spark.read.schema(t.schema).parquet(f"{at}/{n}") for n, t in tables.items()}
-
-
 @on_tables("link_files", "part", _LINKED)
 def _(part):
-    rows = _written(ingest.ingest(_files(part)))
+    rows = ingest.ingest(_files(part))
     found = resolve.resolve(rows["unresolved_refs"], rows["nodes"], files=rows["files"].select("path"))
     return _named(found, rows["nodes"])
 
 
-def _scratch(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{folder or tempfile.gettempdir()}/skein-{os.getpid()}-{uuid.uuid4().hex}"
-
-
 def _sync_files(spark, sf_dir):
     """All files indexed and linked, then half of the shared files gone and some documents new: calls of what is gone wait again."""
     part = table(spark, sf_dir, "part")
-    first = _written(ingest.ingest(_files(part)) | {"vectors": spark.createDataFrame([], TABLES["vectors"])})
-    now = _written(linked(first))
-    after = synchronised(now, _files(part, "p_size <= 25 and p_size % 2 = 0", "p_partkey % 10 = 0 or p_partkey % 10 = 5"), lambda fresh: _written(ingest.ingest(fresh)))
+    now = linked(ingest.ingest(_files(part)) | {"vectors": spark.createDataFrame([], TABLES["vectors"])})
+    after = synchronised(now, _files(part, "p_size <= 25 and p_size % 2 = 0", "p_partkey % 10 = 0 or p_partkey % 10 = 5"), ingest.ingest)
     nodes = after["nodes"].groupBy(F.lit("node").alias("what"), "kind").agg(F.count("*").alias("n"))
     edges = after["edges"].groupBy(F.lit("edge").alias("what"), "kind").agg(F.count("*").alias("n"))
     refs = after["unresolved_refs"].groupBy(F.lit("ref").alias("what"), F.col("reference_kind").alias("kind")).agg(F.count("*").alias("n"))
@@ -140,7 +120,7 @@ UNION ALL SELECT 'ref', 'calls', (SELECT count(*) FROM part WHERE p_size > 25 OR
 
 def _stream_sync(spark, sf_dir):
     """Versions of files that arrive in a folder, taken up by a stream: new or changed ones replace what is tracked."""
-    docs, at = table(spark, sf_dir, "documents"), _scratch(spark)
+    docs, at = table(spark, sf_dir, "documents"), folder(spark)
     version = lambda df, text: df.select(F.concat(F.lit("f"), "doc_id").alias("path"), F.sha2(text.cast("binary"), 256).alias("content_hash"), F.octet_length(text).cast("long").alias("size"), F.lit(0).cast("long").alias("modified_at"))
     version(docs.filter("doc_id % 10 <> 0"), F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).write.parquet(f"{at}/1")
     version(docs.filter("doc_id % 11 <> 0"), F.col("text")).write.parquet(f"{at}/2")

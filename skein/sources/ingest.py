@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from skein import schema
 from skein.functions.text import parent
 from skein.operators.outline import code_spans, headings
+from skein.scratch import saved
 from skein.sources.parsers import parse
+from skein.sources.parsers.braces import module_names
 
 _ROW = "path string, what string, id string, kind string, name string, qualified_name string, language string, start_line long, end_line long, start_column long, end_column long, signature string, is_exported boolean, source string, target string, line long, col long, candidates array<string>"
 _TYPES = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
@@ -25,8 +27,11 @@ def node_id(path: str, kind: str, qualified: str, line: int, column: int) -> str
     return hashlib.sha256(f"{path}|{kind.replace('_', '')}|{qualified}|{line}|{column}".encode()).hexdigest()
 
 
-def file_rows(path: str, language: str, text: str) -> list[dict]:
-    """All rows of one file. A call with one callable of its name in the file is an edge; with more, a reference with candidates."""
+def file_rows(path: str, language: str, text: str, targets: dict[str, str] | None = None) -> list[dict]:
+    """All rows of one file. A call with one callable of its name in the file is an edge; with more, a reference with candidates.
+
+    targets are the files that Rust's modules stand for, by the modules' names; they are the signatures of these.
+    """
     out, ids, by_name, by_scope = [], [], defaultdict(list), {}
     file_id = node_id(path, "file", path, 1, 0)
     base = {"path": path, "language": language}
@@ -40,6 +45,8 @@ def file_rows(path: str, language: str, text: str) -> list[dict]:
         if own in seen:
             continue
         seen.add(own)
+        if kind == "module" and language == "rust" and targets:
+            signature = targets.get(name, signature)
         by_scope[(*scope, name)] = own
         if kind in schema.CALLABLE:
             by_name[name].append(own)
@@ -57,42 +64,69 @@ def file_rows(path: str, language: str, text: str) -> list[dict]:
     return out
 
 
+#: So many rows make a batch that goes back to Spark, or those of one file if these are more.
+_BATCH = 4096
+
+
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in _ARROW], schema=_ARROW)
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[dict] = []
     for batch in batches:
-        for path, language, text in zip(*(batch.column(c).to_pylist() for c in ("path", "language", "content"))):
-            yield pa.RecordBatch.from_pylist(file_rows(path, language, text), _ARROW)
+        for path, language, text, tried in zip(*(batch.column(c).to_pylist() for c in ("path", "language", "content", "tried"))):
+            # of two files that a module may stand for, the first in turn
+            rows += file_rows(path, language, text, {t["name"]: t["guess"] for t in sorted(tried or (), key=lambda t: -t["turn"])})
+            if len(rows) >= _BATCH:
+                yield _batch(rows)
+                rows = []
+    if rows:
+        yield _batch(rows)
 
 
-def ingest(files: DataFrame, paths: DataFrame | None = None) -> dict[str, DataFrame]:
+def ingest(files: DataFrame, paths: DataFrame | None = None, once: bool = True) -> dict[str, DataFrame]:
     """The rows that files (as tree.read gives them) add to the graph tables; each file is parsed by itself, in parallel.
 
-    paths (path) are all files of the tree, which Rust's modules may name; those of files if it is not given.
+    paths (path) are all files of the tree, which Rust's modules may name; those of files if it is not given. The rows are written
+    down, so that no table parses the files again; without once they are not, which is less where one table is read once.
     """
-    rows = files.select("path", "language", "content").mapInArrow(_parse, _ROW)
+    # dealt anew, since the texts may be computed of few and small files of rows
+    dealt = files.select("path", "language", "content").repartition("path").join(_module_targets(files, files if paths is None else paths), "path", "left")
+    rows = dealt.mapInArrow(_parse, _ROW)
     now = int(time.time() * 1000)
     every = rows.unionByName(markdown(files), allowMissingColumns=True)
+    if once:
+        every = saved(every)
     empty = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in ("docstring string", "visibility string", "decorators array<string>", "type_parameters array<string>")}
     flags = {c: F.lit(False) for c in ("is_async", "is_static", "is_abstract")}
-    nodes = _module_targets(every.filter("what = 'node'"), files if paths is None else paths)
-    nodes = nodes.withColumnRenamed("path", "file_path").withColumns({**empty, **flags, "updated_at": F.lit(now)})
+    nodes = every.filter("what = 'node'").withColumnRenamed("path", "file_path").withColumns({**empty, **flags, "updated_at": F.lit(now)})
     edges = every.filter("what = 'edge'").withColumn("metadata", F.lit(None).cast("map<string,string>"))
     refs = every.filter("what = 'ref'").select(F.xxhash64("source", "name", "line", "col").alias("id"), F.col("source").alias("from_node_id"), F.col("name").alias("reference_name"), F.col("kind").alias("reference_kind"), "line", "col", "candidates")
     counts = every.filter("what = 'node'").groupBy("path").agg(F.count("*").alias("node_count"))
-    listed = files.drop("content").withColumns({"indexed_at": F.lit(now)}).join(counts, "path", "left")
+    listed = files.drop("content").withColumns({"indexed_at": F.lit(now)}).join(counts.hint("merge"), "path", "left")
     return {
         "nodes": nodes.select([c.split()[0] for c in schema.NODES.split(", ")]), "edges": edges.select("source", "target", "kind", "metadata", "line", "col"), "unresolved_refs": refs,
         "files": listed.select("path", "content_hash", "language", "size", "modified_at", "indexed_at", "node_count", F.lit(None).cast(schema.FILES.split("errors ")[1]).alias("errors")),
     }
 
 
-def _module_targets(nodes: DataFrame, paths: DataFrame) -> DataFrame:
-    """nodes, with the file that a Rust module stands for, if it is there, as its signature: name.rs, else name/mod.rs beside its file."""
-    is_module = (F.col("kind") == "module") & (F.col("language") == "rust")
+def _modules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [(path, name) for path, text in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()) for name in module_names(text)]
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.string())], ["path", "name"])
+
+
+def _module_targets(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """path and tried (name, guess, turn): the files that Rust modules of a file may stand for and that are there, name.rs before
+    name/mod.rs beside the file. Only names and paths meet, before files are parsed, so that parsed rows need no join."""
+    rust = files.filter("language = 'rust'").select("path", "content").repartition("path").mapInArrow(_modules, "path string, name string")
     base = F.concat(parent(F.col("path")), F.when(F.contains("path", F.lit("/")), F.lit("/")).otherwise(F.lit("")), F.col("name"))
     guesses = F.array(F.struct(F.concat(base, F.lit(".rs")).alias("guess"), F.lit(0).alias("turn")), F.struct(F.concat(base, F.lit("/mod.rs")).alias("guess"), F.lit(1).alias("turn")))
-    tried = nodes.filter(is_module).select("id", F.explode(guesses).alias("g")).select("id", "g.*")
-    found = tried.join(paths.select(F.col("path").alias("guess")), "guess").groupBy("id").agg(F.min_by("guess", "turn").alias("target_file"))
-    return nodes.join(found, "id", "left").withColumn("signature", F.coalesce("target_file", "signature")).drop("target_file")
+    tried = rust.select("path", "name", F.explode(guesses).alias("g")).select("path", "name", "g.*")
+    # merge: Spark takes the sizes of computed paths for those of the table that they are computed of, and would broadcast them
+    there = tried.join(paths.select(F.col("path").alias("guess")).hint("merge"), "guess", "left_semi")
+    return there.groupBy("path").agg(F.collect_list(F.struct("name", "guess", "turn")).alias("tried")).hint("merge")
 
 
 def markdown(files: DataFrame) -> DataFrame:
