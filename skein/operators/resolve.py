@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.functions.text import base_name, parent, stem
-from skein.operators.graph import checkpoints
 from skein.schema import CALLABLE
+from skein.scratch import saved
 
 _EXTENSIONS = r"(\.ts)*(\.tsx)*(\.rs)*$"
 
@@ -76,22 +76,23 @@ def resolve(refs: DataFrame, nodes: DataFrame, limit: int | None = None, files:
     smallest ids.
 
     References of one kind, name and file have the same outcome, and so are ranked once. Each tier is an equi-join with counts by name
-    and file, folder or module, or by name alone: nothing pairs the files that use a name with those that define it.
+    and file, folder or module, or by name alone: nothing pairs the files that use a name with those that define it. References with
+    their files, their keys, and the counts of the names that these use are written down, since tiers read them again.
     """
     if limit is not None:
         refs = refs.orderBy("id").limit(limit)
     paths = nodes.select(F.col("id").alias("from_node_id"), F.col("file_path").alias("from_path"))
     given = own_candidates(refs, nodes)
     marked = refs.join(given.select(F.col("own").alias("id"), F.lit(True).alias("given")).distinct(), "id", "left")
-    placed = marked.join(paths, "from_node_id").withColumn("own", F.when(F.col("given"), F.col("id")).otherwise(F.lit(-1)))
-    checkpoints(nodes.sparkSession)
-    keys = hints(placed.select(_KEY).distinct(), nodes).checkpoint()  # each tier reads them
+    placed = saved(marked.join(paths, "from_node_id").withColumn("own", F.when(F.col("given"), F.col("id")).otherwise(F.lit(-1))).drop("given", "candidates"))
+    keys = saved(hints(placed.select(_KEY).distinct(), nodes))
     exports = nodes.filter("kind = 'export'").groupBy(F.col("signature").alias("module"), F.col("name").alias("export")).agg(F.count("*").alias("n"), F.min("id").alias("node"))
     over = keys.join(exports, ["module", "export"]).select(*_KEY, F.lit(0).alias("tier"), "n", "node")
     callable = F.col("kind").isin(*CALLABLE)
-    counted = nodes.groupBy(F.col("name").alias("reference_name"), F.col("file_path").alias("to_path")).agg(
+    names = keys.select(F.explode(F.array("reference_name", F.substring_index("reference_name", "::", -1))).alias("name")).distinct()  # the fallback seeks last segments
+    counted = saved(nodes.join(names, "name", "left_semi").groupBy(F.col("name").alias("reference_name"), F.col("file_path").alias("to_path")).agg(
         F.count("*").alias("n_any"), F.min("id").alias("any"), F.sum(callable.cast("long")).alias("n_callable"), F.min(F.when(callable, F.col("id"))).alias("callable")
-    ).checkpoint()
+    ))
     calls = F.col("reference_kind") == "calls"
     plain = keys.filter("own = -1")
     folder = parent(F.col("to_path")).alias("folder")
@@ -109,6 +110,7 @@ def resolve(refs: DataFrame, nodes: DataFrame, limit: int | None = None, files:
     found = found.unionByName(own.withColumn("tier", near).filter("tier is not null").groupBy(*_KEY, "tier").agg(F.count("*").alias("n"), F.min("node").alias("node")))
     best = found.groupBy(*_KEY).agg(F.min(F.struct("tier", "n", "node")).alias("b")).select(*_KEY, "b.*")
     if files is not None:
+        best = saved(best)
         best = best.unionByName(_fallback(keys.join(best, _KEY, "left_anti"), counted, files))
     single = best.filter("n = 1").select(*_KEY, F.col("node").alias("target"), "tier")
     return placed.join(single, _KEY).select(F.col("id").alias("ref"), F.col("from_node_id").alias("source"), "target", F.col("reference_kind").alias("kind"), "line", "col", "tier")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.graph import checkpoints
+from skein.scratch import saved
 from skein.store import without_files, without_refused
 
 #: Kinds of edges that parsing alone makes.
@@ -37,19 +37,19 @@ def again_unresolved(tables: dict[str, DataFrame], gone: DataFrame) -> DataFrame
 
 
 def synchronised(tables: dict[str, DataFrame], scanned: DataFrame, parse: Callable[[DataFrame], dict[str, DataFrame]], compat: bool = False) -> dict[str, DataFrame]:
-    """The graph tables after removing what is gone and parsing what is new or has another hash. parse maps files to the tables' rows.
+    """The graph tables after removing what is gone and parsing what is new or has another hash. parse maps files to the tables' rows,
+    which it writes down, as ingest does, so that no plan parses again.
 
     Edges from other files into files that changed become unresolved references again; with compat they are lost until the other
     files change. New files in which an id occurs twice are refused as a whole.
     """
-    checkpoints(scanned.sparkSession)
-    changes = difference(scanned, tables["files"], by_hash_only=True).checkpoint()  # which all tables are made of
+    changes = saved(difference(scanned, tables["files"], by_hash_only=True))  # which all tables are made of
     gone = changes.filter("change <> 'added'")
     left = without_files(tables, gone)
     if not compat:
         left["unresolved_refs"] = left["unresolved_refs"].unionByName(again_unresolved(tables, gone).join(left["nodes"].select(F.col("id").alias("from_node_id")), "from_node_id", "left_semi"))
     parsed = parse(scanned.join(changes.filter("change <> 'removed'"), "path", "left_semi"))
-    fresh = without_refused({name: rows.checkpoint() for name, rows in parsed.items()})  # so that no plan parses again
+    fresh = without_refused(parsed)
     return {name: left[name].unionByName(fresh[name], allowMissingColumns=True) if name in fresh else left[name] for name in left}
 
 
