@@ -13,6 +13,7 @@ from skein.functions import text
 from skein.operators import audit, graph, guard, outline, resolve, search, vectors
 from skein.plans.adapters import WITH, Graph, table
 from skein.plans.adapters import graph as adapted
+from skein.scratch import saved
 from skein.sources import globs
 from skein.store import upserted, without_files
 from skein.streaming.sync import difference
@@ -252,7 +253,7 @@ def _(g):
     calls = g.edges.filter("kind = 'calls'").groupBy("source", "target").agg(F.count("*").alias("n"))
     paths = g.nodes.select("id", "file_path")
     both = calls.join(paths.select(F.col("id").alias("source"), F.col("file_path").alias("from_path")), "source").join(paths.select(F.col("id").alias("target"), F.col("file_path").alias("to_path")), "target")
-    return graph.valid_calls(both, g.nodes).select("source", "target", "n")
+    return graph.valid_calls(saved(both), g.nodes).select("source", "target", "n")
 
 
 @on_graph("references", ", top AS (SELECT source, kind AS edge_kind, line AS edge_line FROM edges WHERE target = 's:7' ORDER BY coalesce(line, 0), coalesce(col, 0), source, kind LIMIT 50) SELECT id, kind, name, file_path, edge_kind, edge_line FROM top JOIN nodes ON id = source")
